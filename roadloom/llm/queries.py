@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm import decontaminate, exact_dedup, lm_score, ngram_join, packing, quality, secrets
+from roadloom.llm import decontaminate, exact_dedup, license_scan, line_dedup, lm_score, ngram_join, packing, quality, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +18,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_classes(table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secret_spans(table(spark, sf_dir, "documents"))
 
@@ -60,7 +68,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries():
     return {
+        "op2_license_scan": op2_license_scan,
         "op3_decontaminate": op3_decontaminate,
+        "op4_line_dedup": op4_line_dedup,
         "op5_secrets": op5_secrets,
         "op6_lm_score": op6_lm_score,
         "op7_ngram_join": op7_ngram_join,
