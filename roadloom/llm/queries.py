@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.llm import decontaminate, exact_dedup, license_scan, line_dedup, lm_score, ngram_join, packing, quality, secrets
+from roadloom.llm import decontaminate, exact_dedup, license_scan, line_dedup, lm_score, ngram_join, packing, quality, secrets, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.warc_round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
@@ -68,6 +73,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries():
     return {
+        "op1_warc": op1_warc,
         "op2_license_scan": op2_license_scan,
         "op3_decontaminate": op3_decontaminate,
         "op4_line_dedup": op4_line_dedup,
@@ -94,5 +100,17 @@ FROM t
 """
 
 
+OP1_SQL = """
+WITH t AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  FROM pages),
+u AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM t)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM u
+"""
+
+
 def oracle_sql():
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op1_warc": OP1_SQL, "op9_exact_dedup": OP9_SQL}
