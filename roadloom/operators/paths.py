@@ -78,7 +78,7 @@ def _tiled(network: RoadNetwork, roots: DataFrame, rows_of, schema: str, halo: f
     tile = lambda v: F.floor(v / side)
     spread = ends.withColumn("tx", F.explode(F.sequence(tile(x - halo), tile(x + halo)))).withColumn("ty", F.explode(F.sequence(tile(y - halo), tile(y + halo))))
     if by_node:
-        home = ends.select(F.explode(F.array(F.struct(F.col("source").alias("root"), F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("target"), F.col("bx"), F.col("by")))).alias("e")).select("e.*")
+        home = ends.select(F.explode(F.array(F.struct(F.col("source").alias("root"), F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("target").alias("root"), F.col("bx").alias("x"), F.col("by").alias("y")))).alias("e")).select("e.*")
         home = home.groupBy("root").agg(F.min(F.struct("x", "y")).alias("p")).select("root", tile(F.col("p.x")).alias("tx"), tile(F.col("p.y")).alias("ty"))
     else:
         home = ends.select(F.col("segment_index").alias("root"), tile(x).alias("tx"), tile(y).alias("ty"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from roadloom.functions import geometry as g
 from roadloom.operators.kernels import StreetGraph
+from roadloom.plans.scratch import cut
 from roadloom.schema import BROADCAST_SEGMENTS, SEGMENTS
 
 
@@ -33,8 +34,12 @@ def from_columns(spark: SparkSession, source, target, length, x0=None, y0=None,
 
 
 def with_index(df: DataFrame, *order: str, name: str = "segment_index") -> DataFrame:
-    """Number rows from 0 in the given order without gathering them in one task: sort by range, count each partition, add offsets."""
-    ordered = df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    """Number rows from 0 in the given order without gathering them in one task: sort by range, count each partition, add offsets.
+
+    The sorted rows are checkpointed with the partition that they stand in: partitions of a second
+    execution need not be the same.
+    """
+    ordered = cut(df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
     sizes = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     offsets = sizes.selectExpr("_part", "_first", "coalesce(sum(_n) over (order by _part rows between unbounded preceding and 1 preceding), 0L) as _offset")
     return ordered.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_at") - F.col("_first") + F.col("_offset")).drop("_part", "_at", "_first", "_offset")

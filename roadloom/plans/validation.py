@@ -14,6 +14,12 @@ from roadloom.plans.network import NetworkError, RoadNetwork, from_columns
 from roadloom.sources import segment_csv
 
 
+def pearson(a: str, b: str):
+    """Correlation; NaN where a side doesn't vary."""
+    spread = F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+    return F.coalesce(F.covar_pop(a, b) / spread, F.lit(float("nan")))
+
+
 def compare_columns(pairs: DataFrame) -> DataFrame:
     """One row of statistics over (row, reference, engine), where both are finite.
 
@@ -36,8 +42,8 @@ def compare_columns(pairs: DataFrame) -> DataFrame:
     both = ((F.col("reference_place") <= F.col("top")) & (F.col("engine_place") <= F.col("top"))).cast("int")
     return ranked.agg(
         F.count(F.lit(1)).alias("count"),
-        F.corr("reference", "engine").alias("pearson"),
-        F.corr("reference_rank", "engine_rank").alias("spearman"),
+        pearson("reference", "engine").alias("pearson"),
+        pearson("reference_rank", "engine_rank").alias("spearman"),
         F.avg(difference).alias("mean_absolute_difference"),
         F.percentile(difference, 0.5).alias("median_absolute_difference"),
         F.max(difference).alias("max_absolute_difference"),

@@ -91,7 +91,7 @@ def canonicalize_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unlink_mask_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = can.prepared_lines(can.crossing_features(spark, sf_dir), can.Options())
-    masks = spark.read.parquet(f"{sf_dir}/region.parquet").select((10 * F.col("r_regionkey")).cast("double").alias("cx"), (10 * F.col("r_regionkey") + 5).cast("double").alias("cy"), F.lit(4.0).alias("radius"))
+    masks = spark.read.parquet(f"{sf_dir}/region.parquet").select((10 * F.col("r_regionkey")).cast("double").alias("cx"), (10 * F.col("r_regionkey") + 5).cast("double").alias("cy"), F.lit(4.5).alias("radius"))
     return can.masked(can.intersections(can.line_edges(lines)), masks).select("line_a", "line_b", "skipped")
 
 
@@ -363,7 +363,7 @@ def oracle_sql() -> dict[str, str]:
         "canonicalize_hits": _LINES + " SELECT line_a, at_a, line_b, at_b, x, y FROM hit",
         "canonicalize_segments": _LINES + " SELECT segment_index, s.node AS source, t.node AS target, round(length_m, 6) AS length_m, x0, y0, x1, y1, id AS original_feature_id FROM p JOIN nodes s ON s.x = x0 AND s.y = y0 JOIN nodes t ON t.x = x1 AND t.y = y1",
         "canonicalize_metadata": _LINES + " SELECT (SELECT count(*) FROM line) AS input_feature_count, (SELECT count(*) FROM line) AS input_line_count, (SELECT count(*) FROM hit) AS intersections_split, 0::BIGINT AS intersections_skipped_by_unlink, 0::BIGINT AS zero_length_discarded, 0::BIGINT AS discarded_end_stubs, (SELECT count(*) FROM p) AS output_segment_count, (SELECT count(*) FROM nodes) AS node_count, (SELECT round(sum(length_m), 6) FROM p) AS total_length_m",
-        "unlink_mask_skips": _LINES + " SELECT line_a, line_b, EXISTS (SELECT 1 FROM region WHERE sqrt((x - 10 * r_regionkey) ** 2 + (y - 10 * r_regionkey - 5) ** 2) <= 4) AS skipped FROM hit",
+        "unlink_mask_skips": _LINES + " SELECT line_a, line_b, EXISTS (SELECT 1 FROM region WHERE sqrt((x - 10 * r_regionkey) ** 2 + (y - 10 * r_regionkey - 5) ** 2) <= 4.5) AS skipped FROM hit",
         "normalize_coords": _LINES + ", pts AS (SELECT id, 0::BIGINT AS n, CASE WHEN across THEN 0.0 ELSE pos END AS x, CASE WHEN across THEN pos ELSE 0.0 END AS y FROM line UNION ALL SELECT id, 1, CASE WHEN across THEN size ELSE pos END, CASE WHEN across THEN pos ELSE size END FROM line), b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pts) SELECT id, n, round((x - (x0 + x1) / 2) / greatest(x1 - x0, y1 - y0), 6)::DOUBLE AS x, round((y - (y0 + y1) / 2) / greatest(x1 - x0, y1 - y0), 6)::DOUBLE AS y FROM pts, b",
         "extent": _LINES + " SELECT 0.0::DOUBLE AS min_x, 0.0::DOUBLE AS min_y, 100.0::DOUBLE AS max_x, 60.0::DOUBLE AS max_y",
         "mif_parse": _NET + " SELECT segment_index AS row, x0, y0, x1, y1, 'Road, no. ' || segment_index AS name, length_m FROM seg",

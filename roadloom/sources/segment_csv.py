@@ -20,7 +20,7 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
 def network_of(rows: DataFrame) -> RoadNetwork:
     """The network of rows with x1, y1, x2, y2 and ``Segment Length``; ends with the same numbers are one node."""
     n = rows.select("segment_index", *(F.expr(f"try_cast(`{c}` as double)").alias(a) for c, a in (("x1", "ax"), ("y1", "ay"), ("x2", "bx"), ("y2", "by"), ("Segment Length", "length_m"))))
-    ends = n.select(F.explode(F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y"), (2 * F.col("segment_index")).alias("seen")), F.struct("bx", "by", 2 * F.col("segment_index") + 1))).alias("e")).select("e.*")
+    ends = n.select(F.explode(F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y"), (2 * F.col("segment_index")).alias("seen")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y"), (2 * F.col("segment_index") + 1).alias("seen")))).alias("e")).select("e.*")
     nodes = with_index(ends.groupBy("x", "y").agg(F.min("seen").alias("seen")), "seen", name="node").select("x", "y", "node")
     for side, name in (("a", "source"), ("b", "target")):
         n = n.join(nodes.select(F.col("x").alias(f"{side}x"), F.col("y").alias(f"{side}y"), F.col("node").alias(name)), [f"{side}x", f"{side}y"])
