@@ -14,34 +14,45 @@ from pyspark.sql.types import LongType
 
 from roadloom.llm.cluster import stored
 
-#: Distinct words whose ids a worker keeps; beyond, it starts anew.
-CACHE_WORDS = 400_000
+#: Words whose ids a worker holds: two generations of half as many each.
+CACHE_WORDS = 800_000
 #: About so many pieces are packed together; a bucket wastes at most its last windows.
 BUCKET_PIECES = 20_000
 
-_SPACE = re.compile("[ \n\t\r]+")
+#: Letters with marks behind them; the vocabulary's own rule parts them, so that either is encoded once.
+_MARKED = re.compile(rb"((?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+)([.,!?;:|]+)")
 
 
-class Encoder:
-    """Ids of whole texts. White space ends a word in this vocabulary, so that words are encoded once and their ids kept."""
+class WordIds(dict):
+    """Word -> its ids as little-endian 32-bit numbers; words not used for a generation are forgotten."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, np.ndarray] = {}
+        self.older: dict[bytes, bytes] = {}
 
-    def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
-        split = [_SPACE.split(t) for t in texts]
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        new = list({w for words in split for w in words if w not in cache})
-        for i in range(0, len(new), 4096):
-            for word, found in zip(new[i : i + 4096], self.tokenizer.encode_batch_fast(new[i : i + 4096], add_special_tokens=False), strict=True):
-                cache[word] = np.array(found.ids, np.uint32)
-        end = np.array([end_id], np.uint32)
-        return [np.concatenate([*map(cache.__getitem__, words), end]) for words in split]
+    def __missing__(self, word: bytes) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            marked = _MARKED.fullmatch(word)
+            if marked:
+                found = self[marked[1]] + self[marked[2]]
+            else:
+                found = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self) >= CACHE_WORDS // 2:
+            self.older = dict(self)
+            self.clear()
+        self[word] = found
+        return found
+
+    def encode(self, text: str | None, end: bytes) -> bytes:
+        """Ids of a whole text: those of its words, since ASCII white space always parts words, and letters A-Z have the ids of a-z."""
+        data = (text or "").encode()
+        if b"<|" not in data:  # the spelling of special tokens counts
+            data = data.lower()
+        return b"".join(map(self.__getitem__, data.split())) + end
 
 
 class TightestWindow:
@@ -96,20 +107,19 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: st
     """(id, start, length, ids_crc32, doc_tokens): full windows of each document and its rest."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        words = WordIds(tokenizer_path)
+        end = np.array([end_id], "<u4").tobytes()
         names = ["id", "start", "length", "ids_crc32", "doc_tokens"]
-        for whole in batches:
-            for first in range(0, whole.num_rows, 256):
-                batch = whole.slice(first, 256)
-                rows, columns = [], [[], [], [], []]
-                for row, ids in enumerate(encoder.encode([t or "" for t in batch.column(1).to_pylist()], end_id)):
-                    ids = ids.astype("<u4", copy=False)
-                    for start in range(0, len(ids), window):
-                        piece = ids[start : start + window]
-                        rows.append(row)
-                        for column, value in zip(columns, (start, len(piece), zlib.crc32(piece.tobytes()), len(ids)), strict=True):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, pa.int64()) for c in columns)], names)
+        for batch in batches:
+            rows, columns = [], [[], [], [], []]
+            for row, text in enumerate(batch.column(1)):
+                ids = words.encode(text.as_py(), end)
+                for start in range(0, len(ids), 4 * window):
+                    piece = ids[start : start + 4 * window]
+                    rows.append(row)
+                    for column, value in zip(columns, (start // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, pa.int64()) for c in columns)], names)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
