@@ -184,5 +184,5 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         part = rows.mapInArrow(scan, schema)
         out = part if out is None else out.unionAll(part)
     if out is None:
-        out = rows.limit(0).selectExpr("id", "0L item_id", "0 distance", "0 item_chars", "0L start", "0L end")
+        out = rows.limit(0).selectExpr("id", "0L as item_id", "0 as distance", "0 as item_chars", "0L as `start`", "0L as `end`")
     return out.withColumnRenamed("id", id_col)

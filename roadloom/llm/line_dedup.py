@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.cluster import discard, stored
+from roadloom.llm.cluster import discard, fresh, stored
 from roadloom.llm.components import connected_components
 
 #: Characters of a shingle.
@@ -142,10 +142,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A text that loses nothing is returned as it was, a null as null; one that loses all is empty.
     """
-    names = docs.columns
-    dropped = line_classes(docs, id_col, text_col, threshold).where("not kept").groupBy(id_col).agg(F.collect_set("line_no").alias("_dropped"))
-    dropped = stored(dropped.withColumnRenamed(id_col, "_id"), "dropped")
-    joined = docs.join(dropped, F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    gone, own = fresh(docs, "dropped_lines"), fresh(docs, "dropped_id")
+    dropped = line_classes(docs, id_col, text_col, threshold).where("not kept").groupBy(F.col(id_col).alias(own)).agg(F.collect_set("line_no").alias(gone))
+    dropped = stored(dropped, "dropped")
+    joined = docs.join(dropped, F.col(id_col).eqNullSafe(F.col(own)), "left")
     lines = F.split(F.col(text_col), "\n")
-    text = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_dropped", i)), "\n")
-    return joined.select(*(F.when(F.col("_dropped").isNull(), F.col(c)).otherwise(text).alias(c) if c == text_col else F.col(c) for c in names))
+    text = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(gone, i)), "\n")
+    return joined.select(*(F.when(F.col(gone).isNull(), F.col(c)).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns))
