@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.llm import decontaminate, line_dedup, ngram_join, packing, quality
-from roadloom.llm.cluster import stored
+from roadloom.llm.cluster import fresh, stored
 from roadloom.llm.queries import table, tokenizer_path
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from the documents of this stage and their labels."""
-    scored = quality.quality_scores(docs, table(spark, sf_dir, "labels"))
-    return scored.where("predicted = 1").select(*docs.columns)
+    names = tuple(fresh(docs, f"quality_{n}") for n in ("held_out", "score", "predicted"))
+    scored = quality.quality_scores(docs, table(spark, sf_dir, "labels"), names=names)
+    return scored.where(F.col(names[2]) == 1).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
