@@ -101,35 +101,30 @@ def held_out(id_col: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = MAX_TRAIN_DOCS, max_chars: int = MAX_TRAIN_CHARS) -> QualityModel:
-    """Fit on at most ``max_docs`` labelled documents of at most ``max_chars`` characters outside the held-out fold: those with the smallest hash of their id.
+    """Fit on at most ``max_docs`` labelled documents of at most ``max_chars`` characters outside the held-out fold: of the labelled rows with the smallest hash of their id.
 
     Without a labelled row the model scores 0.5 everywhere. Rows with a null id, text or label are not learned from.
     """
-    labelled = labels.where(F.col(label_col).isin(0, 1)).where(~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).alias("_label"))
-    rows = (
-        docs.select(F.col(id_col), F.col(text_col).alias("_text"))
-        .where(F.length("_text").between(1, max_chars))
-        .join(labelled, id_col)
-        .select("_text", "_label", F.xxhash64(F.col(id_col).cast("string")).alias("_order"), F.col(id_col).alias("_id"))
-        .orderBy("_order", "_id", "_text")
-        .limit(max_docs)
-        .collect()
-    )
+    labelled = labels.where(F.col(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label"))
+    # The sample is drawn from the labels alone and broadcast (at most ``max_docs`` short rows): texts are never shuffled.
+    drawn = labelled.orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(max_docs)
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text").between(1, max_chars))
+    rows = sorted(texts.join(F.broadcast(drawn), "_id").select("_id", "_text", "_label").limit(2 * max_docs).collect())
     if not rows:
         return QualityModel(np.zeros(BUCKETS), 0.0)
     return train([r["_text"] for r in rows], [int(r["_label"]) for r in rows])
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", accept: float = 0.7, model: QualityModel | None = None) -> DataFrame:
-    """``docs`` with held_out, score and predicted (1 if score >= ``accept``) appended.
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", accept: float = 0.7, model: QualityModel | None = None, names: tuple[str, str, str] = ("held_out", "score", "predicted")) -> DataFrame:
+    """``docs`` with held_out, score and predicted (1 if score >= ``accept``), or other ``names``, appended.
 
     Whole texts are scored in Arrow batches; a null or empty text gets the score of the bias alone.
     Only the text is an input of a score. Columns of ``docs`` with the appended names are replaced.
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model or fit(docs, labels, id_col, text_col))
-    names = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
-    docs = docs.select(*names, held_out(id_col).alias("held_out"))
+    fold, score, predicted = names
+    docs = docs.select(*(c for c in docs.columns if c not in names), held_out(id_col).alias(fold))
     at = docs.columns.index(text_col)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +133,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             data, offsets = ts.text_buffers(batch.column(at))
             parts = [model.score(d, o) for _, _, d, o in ts.chunks(data, offsets)]
             scores = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, score])
 
-    out = StructType([*docs.schema.fields, StructField("score", DoubleType())])
-    return docs.mapInArrow(scored, out).withColumn("predicted", (F.col("score") >= accept).cast("int"))
+    out = StructType([*docs.schema.fields, StructField(score, DoubleType())])
+    return docs.mapInArrow(scored, out).withColumn(predicted, (F.col(score) >= accept).cast("int"))
