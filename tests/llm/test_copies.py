@@ -5,7 +5,7 @@ import hashlib
 import re
 
 import pytest
-from conftest import LOW, WORD
+from prose import LOW, WORD
 from pyspark.sql import functions as F
 
 from roadloom.llm import exact_dedup as ed

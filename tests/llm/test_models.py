@@ -7,7 +7,7 @@ import re
 import zlib
 
 import pytest
-from conftest import LOW, sentence_text, words
+from prose import LOW, sentence_text, words
 
 from roadloom.llm import lm_score, packing, quality, queries
 
@@ -111,7 +111,7 @@ def test_packing(docs, corpus, nothing, spark):
     assert packing.pack(nothing, path).count() == 0
 
 
-ODD = ["it's we'll", "<|endoftext|> <|ENDOFTEXT|>", "a\x1cb\x85c d", "ÀÉ ÷× naïve!!", "é É.", "don't. stop... 12,5 ☃☃", "ΣΑΣ Straße İ", "x y\x0bz\x0cw", "café... déjà-vu;", "a" * 500]
+ODD = [" ".join(f"ab{chr(c)}cd {chr(c)} {chr(c)}{chr(c)}x," for c in range(0xC0, 0x100)), "it's we'll", "<|endoftext|> <|ENDOFTEXT|>", "a\x1cb\x85c d", "ÀÉ ÷× naïve!!", "é É.", "don't. stop... 12,5 ☃☃", "ΣΑΣ Straße İ", "x y\x0bz\x0cw", "café... déjà-vu;", "a" * 500]
 
 
 def test_ids_are_those_of_whole_texts():

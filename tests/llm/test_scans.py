@@ -5,7 +5,7 @@ import random
 import re
 
 import pytest
-from conftest import LOW, WORD, mutate, words
+from prose import LOW, WORD, mutate, words
 
 from roadloom.llm import decontaminate as dc
 from roadloom.llm import license_scan as ls
