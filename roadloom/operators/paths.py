@@ -6,7 +6,7 @@ import math
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.operators import kernels as k
@@ -123,9 +123,11 @@ def centre_distances(network: RoadNetwork, radius: float = math.inf, kind: str =
     return run(network, roots if roots is not None else all_segments(network), kernel, "root bigint, segment_index bigint, distance double", radius if kind == "metric" else math.inf)
 
 
-def dijkstra(network: RoadNetwork, source: int, radius: float = math.inf) -> DataFrame:
-    """(node, distance, predecessor) from one node; an unknown node reaches nothing. Negative weights are refused."""
-    if network.segments.where("length_m < 0 or isnan(length_m)").limit(1).count():
+def dijkstra(network: RoadNetwork, source: int, radius: float = math.inf, weight: Column | None = None) -> DataFrame:
+    """(node, distance, predecessor) from one node, by length or another column of the segments; an unknown node reaches nothing. Negative weights are refused."""
+    if weight is not None:
+        network = RoadNetwork(network.segments.withColumn("length_m", weight.cast("double")))
+    if network.segments.where("length_m is null or length_m < 0 or isnan(length_m)").limit(1).count():
         raise NetworkError("Edge weights must be non-negative and finite.")
     known = all_nodes(network).where(F.col("root") == source)
 

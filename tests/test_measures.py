@@ -2,6 +2,7 @@ import math
 
 import pytest
 from networks import chain, cross, disconnected, make, right_angle, square, values
+from pyspark.sql import functions as F
 
 from roadloom.operators import kernels as k
 from roadloom.operators import measures as m
@@ -29,6 +30,9 @@ def test_paths_and_degrees(spark):
     assert [r.distance for r in paths.breadth_first(two, 0).orderBy("node").collect()] == [0.0, 1.0, 2.0]
     assert [r.distance for r in paths.breadth_first(two, 0, 0.5).orderBy("node").collect()] == [0.0, 1.0]
     assert paths.dijkstra(two, 99).count() == 0
+    assert [r.distance for r in paths.dijkstra(two, 0, weight=F.col("length_m") * 2).orderBy("node").collect()] == [0.0, 20.0, 40.0]
+    with pytest.raises(NetworkError):
+        paths.dijkstra(two, 0, weight=-F.col("length_m"))
     assert values(topology.node_degree(cross(spark))) == [1, 4, 1, 1, 1]
     assert values(topology.segment_degree(cross(spark))) == [3, 3, 3, 3]
     apart = disconnected(spark)
