@@ -31,7 +31,7 @@ class MisraGries:
 
 
 def heavy_values(df: DataFrame, column: str, counters: int) -> DataFrame:
-    """Values of a binary column with over 2/counters of the rows, and maybe some with over 1/counters: at most ``counters`` rows.
+    """Values of a binary column with over 2.2/counters of the rows, and maybe some with over 1/counters: at most ``counters`` rows.
 
     Each task sends a summary of at most ``counters`` values; the sums of the counters never exceed
     the true counts, so that no more than ``counters`` values can reach the limit.
