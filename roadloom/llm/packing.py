@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +20,10 @@ CACHE_WORDS = 800_000
 #: About so many pieces are packed together; a bucket wastes at most its last windows.
 BUCKET_PIECES = 20_000
 
-#: Letters with marks behind them; the vocabulary's own rule parts them, so that either is encoded once.
-_MARKED = re.compile(rb"((?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+)([.,!?;:|]+)")
+#: Letters, and marks behind them; the vocabulary's own rule parts the two, so that either is encoded once.
+_SHAPE = re.compile(rb"((?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+)([.,!?;:|]+)?")
+#: Byte-level vocabularies write a byte as the character of its number, but for those that don't print.
+_BYTE_SIGN = {0xA0: chr(322), 0xAD: chr(323)}
 
 
 class WordIds(dict):
@@ -31,16 +34,20 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model
         self.older: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
         found = self.older.get(word)
         if found is None:
-            marked = _MARKED.fullmatch(word)
-            if marked:
-                found = self[marked[1]] + self[marked[2]]
-            else:
-                found = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            shape = _SHAPE.fullmatch(word)
+            if shape is None:
+                found = array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+            elif shape[2]:
+                found = self[shape[1]] + self[shape[2]]
+            else:  # letters alone pass all rules before the merges unchanged
+                text = word.decode() if word.isascii() else word.decode("latin-1").translate(_BYTE_SIGN)
+                found = array("I", [t.id for t in self.merges.tokenize(text)]).tobytes()
         if len(self) >= CACHE_WORDS // 2:
             self.older = dict(self)
             self.clear()
