@@ -11,61 +11,74 @@ from pyspark.sql import functions as F
 from roadloom.llm.cluster import discard, fresh, stored
 from roadloom.llm.components import connected_components
 
-#: Characters of a shingle.
+#: Bytes of a shingle, which are characters in ASCII text.
 SHINGLE = 8
-#: Bands and hashes in each: two lines at similarity 0.8 share a band with probability 0.998.
-BANDS, ROWS = 9, 3
+#: A line's shingles fall to ``PARTS`` by their hash; each part has ``PART_BANDS`` bands of ``ROWS`` minima, so that a
+#: shingle meets a third of the minima only. Two lines at similarity 0.8 share a band with probability 0.998.
+PARTS, PART_BANDS, ROWS = 3, 3, 3
+BANDS = PARTS * PART_BANDS
 #: Of all hashes, two lines at 0.8 agree in at least so many with probability over 0.9997.
 LEAST_EQUAL = 14
 THRESHOLD = 0.8
-#: A set of line numbers (8 bytes each) of at most this size is broadcast; a larger one is shuffled.
+#: A table of line numbers (8 to 32 bytes each) of at most so many rows is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Sets of shingles of at most so many bytes together are broadcast to the pairs that name them; larger ones are made for each pair.
+BROADCAST_SETS = 32_000_000
 
-_PIECE, _BLOCK = 64, 4096
-
-
-def _windows(text: Column, size: int, name: str) -> Column:
-    """Starts of runs of ``size`` characters that together hold every shingle of ``text``."""
-    return F.explode(F.sequence(F.lit(0), F.expr(f"greatest(length({name}) - {SHINGLE}, 0) div {size}").cast("int")))
+_MINIMA = [f"s{i}" for i in range(PART_BANDS * ROWS)]
+_NAMES = [f"p{p}_{n}" for p in range(PARTS) for n in _MINIMA]
 
 
 def explode_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, line_no, line, line_id) of every line; line_id is null for a line of white space."""
     lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line_no", "line"))
-    return lines.withColumn("line_id", F.when(F.trim(F.translate("line", "\t\r\x0b\x0c", "")) != "", F.xxhash64("line")))
+    return lines.withColumn("line_id", F.when(F.trim("line", F.lit(" \t\r\x0b\x0c")) != "", F.xxhash64("line")))
 
 
 def line_signatures(lines: DataFrame) -> DataFrame:
-    """(line_id, s0, s1, ...): the least of every hash over the character shingles of each distinct line.
+    """(line_id, part, s0, s1, ...): the least of every hash over the shingles of each distinct line that fall to the part.
 
-    A line is first cut into overlapping runs, so that no shingle is sought from the start of a long
-    line; the least values are aggregated before the shuffle, which carries signatures alone.
+    Shingles are cut from bytes, so that none is sought from the start of a long line; the minima are
+    aggregated before the shuffle, which carries signatures alone.
     """
-    found = lines.where("line_id is not null").select("line_id", "line")
-    found = found.select("line_id", "line", _windows(F.col("line"), _BLOCK, "line").alias("b"))
-    found = found.select("line_id", F.expr(f"substring(line, b * {_BLOCK} + 1, {_BLOCK + SHINGLE - 1})").alias("block"))
-    found = found.select("line_id", "block", _windows(F.col("block"), _PIECE, "block").alias("p"))
-    found = found.select("line_id", F.expr(f"substring(block, p * {_PIECE} + 1, {_PIECE + SHINGLE - 1})").alias("piece"))
-    found = found.select("line_id", "piece", F.explode(F.expr(f"sequence(1, greatest(length(piece) - {SHINGLE - 1}, 1))")).alias("at"))
-    found = found.select("line_id", F.expr(f"hash(substring(piece, at, {SHINGLE}))").alias("h"))
+    found = lines.where("line_id is not null").select("line_id", F.encode("line", "UTF-8").alias("bytes"))
+    found = found.select("line_id", "bytes", F.explode(F.expr(f"sequence(1, greatest(octet_length(bytes) - {SHINGLE - 1}, 1))")).alias("at"))
+    found = found.select("line_id", F.expr(f"hash(substring(bytes, at, {SHINGLE}))").alias("h"))
     rng = random.Random(20240305)
-    masks = [rng.getrandbits(32) - (1 << 31) for _ in range(BANDS * ROWS)]
-    return found.groupBy("line_id").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"s{i}") for i, m in enumerate(masks)))
+    minima = [F.min(F.col("h").bitwiseXOR(F.lit(rng.getrandbits(32) - (1 << 31)))).alias(n) for n in _MINIMA]
+    return found.groupBy("line_id", F.pmod(F.shiftrightunsigned("h", 3), F.lit(PARTS)).alias("part")).agg(*minima)
 
 
 def shingles(line: str) -> Column:
-    """The set of shingles of a line; a shorter line is its own."""
-    found = F.regexp_extract_all(F.col(line), F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
-    return F.when(F.length(line) <= SHINGLE, F.array(F.col(line))).otherwise(F.array_distinct(found))
+    """The hashes of the set of shingles of a line; a shorter line is its own."""
+    return F.expr(f"array_distinct(transform(sequence(1, greatest(octet_length({line}) - {SHINGLE - 1}, 1)), i -> xxhash64(substring({line}, i, {SHINGLE}))))")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of line ids whose sets of shingles have a Jaccard similarity of at least ``threshold``."""
-    both = pairs.join(texts.select(F.col("line_id").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("line_id").alias("b"), F.col("line").alias("line_b")), "b")
-    both = both.select("a", "b", shingles("line_a").alias("x"), shingles("line_b").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    both = both.select("a", "b", common.alias("common"), (F.size("x") + F.size("y")).alias("total"))
-    return both.where(F.col("common") >= threshold * (F.col("total") - F.col("common")) - 1e-9).select("a", "b")
+    """The pairs (a, b) of line ids whose sets of shingles have a Jaccard similarity of at least ``threshold``.
+
+    ``texts`` has the lines that the pairs name. Where all their sets are small enough together they are
+    made once and broadcast; else each pair makes its two from the shuffled lines.
+    """
+    volume = 8 * (texts.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0)
+    held = texts.select("line_id", shingles("bytes").alias("held")) if volume <= BROADCAST_SETS else texts.select("line_id", F.col("bytes").alias("held"))
+    if volume <= BROADCAST_SETS:
+        held = stored(held, "sets")
+    sides = [held.select(F.col("line_id").alias(c), F.col("held").alias(f"held_{c}")) for c in "ab"]
+    if volume <= BROADCAST_SETS:
+        sides = [F.broadcast(side) for side in sides]
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
+    x, y = (F.col(c) if volume <= BROADCAST_SETS else shingles(c) for c in ("held_a", "held_b"))
+
+    def enough(r: Column) -> Column:
+        return r["common"] >= threshold * (r["total"] - r["common"]) - 1e-9
+
+    def counts(s: Column) -> Column:
+        return F.struct(F.size(F.array_intersect(s["x"], s["y"])).alias("common"), (F.size(s["x"]) + F.size(s["y"])).alias("total"))
+
+    # One-element arrays bind what is costly, so that it is computed once.
+    sets = F.array(F.struct(x.alias("x"), y.alias("y")))
+    return both.where(F.exists(F.transform(sets, counts), enough)).select("a", "b")
 
 
 def within(ids: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -76,38 +89,42 @@ def within(ids: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 def line_components(lines: DataFrame, threshold: float) -> DataFrame:
     """(line_id, root) of every distinct line that is similar to another.
 
-    Lines that share a band are compared with one line of their bucket, the one of least id. What is
+    Lines that share a band are compared with one line of their bucket, chosen by hash. What is
     similar merges. Where a bucket still has several components, the lines outside its largest meet
     all others of the bucket; of these pairs only those of different components whose signatures
     agree often enough leave the join, so that a large group of copies is never listed pair by pair.
     """
     signatures = stored(line_signatures(lines), "signatures")
-    names = [f"s{i}" for i in range(BANDS * ROWS)]
-    bands = F.array(*(F.xxhash64(F.lit(i), *names[i * ROWS : (i + 1) * ROWS]) for i in range(BANDS)))
+    bands = F.array(*(F.xxhash64(F.col("part"), F.lit(i), *_MINIMA[i * ROWS : (i + 1) * ROWS]) for i in range(PART_BANDS)))
     keys = signatures.select("line_id", F.explode(bands).alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("line_id").alias("first"), F.max("line_id").alias("last"), F.count(F.lit(1)).alias("n"))
-    buckets = buckets.where("first != last").select("key", "first", "n")
-    members = stored(keys.join(buckets.hint("shuffle_hash"), "key"), "members")
-    pairs = members.where("line_id != first").select(F.col("first").alias("a"), F.col("line_id").alias("b")).distinct()
+    # Another line stands first in each bucket of a group: its members meet as many lines as they share bands.
+    order = F.xxhash64("key", "line_id")
+    buckets = keys.groupBy("key").agg(F.min_by("line_id", order).alias("first"), F.min(order).alias("low"), F.max(order).alias("high")).where("low != high").select("key", "first")
+    members = stored(keys.join(within(stored(buckets, "buckets")), "key"), "members")
+    pairs = members.where("line_id != first").select(F.least("first", "line_id").alias("a"), F.greatest("first", "line_id").alias("b")).distinct()
     needed = stored(members.select("line_id").distinct(), "needed")
-    texts = lines.select("line_id", "line").join(within(needed), "line_id").groupBy("line_id").agg(F.first("line").alias("line"))
+    texts = lines.select("line_id", "line").join(within(needed), "line_id").groupBy("line_id").agg(F.first(F.encode("line", "UTF-8")).alias("bytes"))
     texts = stored(texts, "texts")
     edges = stored(verified(pairs, texts, threshold), "edges")
     roots = connected_components(edges)
 
-    # Pairs that no least line has joined: exact, for buckets that aren't of one component yet.
-    large = members.where("n > 2").join(roots.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("root", F.coalesce("root", "line_id"))
+    # Pairs that no first line has joined: exact, for buckets that aren't of one component yet.
+    large = members.join(roots.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("root", F.coalesce("root", "line_id"))
     counted = large.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     split = counted.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "main")
-    open_members = stored(large.join(split, "key").where("line_id != first").join(signatures, "line_id"), "open")
-    x = open_members.where("root != main").select("key", F.struct("line_id", "root", *names).alias("x"))
-    y = open_members.select("key", F.struct("line_id", "root", *names).alias("y"), "main")
-    equal = reduce(lambda p, q: p + q, [(F.col(f"x.{n}") == F.col(f"y.{n}")).cast("int") for n in names])
+    open_members = stored(large.join(split, "key").where("line_id != first").select("key", "line_id", "root", "main"), "open")
+    minima = [F.max(F.when(F.col("part") == p, F.col(n))).alias(f"p{p}_{n}") for p in range(PARTS) for n in _MINIMA]
+    wide = signatures.join(within(open_members.select("line_id").distinct()), "line_id").groupBy("line_id").agg(*minima)
+    open_members = open_members.join(wide, "line_id")
+    x = open_members.where("root != main").select("key", F.struct("line_id", "root", *_NAMES).alias("x"))
+    y = open_members.select("key", F.struct("line_id", "root", *_NAMES).alias("y"), "main")
+    equal = reduce(lambda p, q: p + q, [F.col(f"x.{n}").eqNullSafe(F.col(f"y.{n}")).cast("int") for n in _NAMES])
     different = F.col("x.root") != F.col("y.root")
     once = (F.col("x.line_id") < F.col("y.line_id")) | (F.col("y.root") == F.col("main"))
     more = x.join(y, (x["key"] == y["key"]) & different & once & (equal >= LEAST_EQUAL))
     more = more.select(F.least("x.line_id", "y.line_id").alias("a"), F.greatest("x.line_id", "y.line_id").alias("b")).distinct()
-    more = stored(verified(more, texts, threshold), "more")
+    open_texts = stored(texts.join(within(open_members.select("line_id").distinct()), "line_id", "left_semi"), "open-texts")
+    more = stored(verified(more, open_texts, threshold), "more")
     if more.limit(1).count():
         roots = connected_components(edges.unionAll(more))
     discard(signatures)
@@ -117,12 +134,12 @@ def line_components(lines: DataFrame, threshold: float) -> DataFrame:
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per line of every text: id, line_no (from 0), rep_id, rep_line_no, class_size, kept.
 
-    Lines end at line feeds. Two lines are similar when their sets of 8-character shingles have a
+    Lines end at line feeds. Two lines are similar when their sets of 8-byte shingles have a
     Jaccard similarity of at least ``threshold`` (a shorter line is its own shingle); classes are the
     connected components. The occurrence of least id, then line number, stays and represents its
     class; a null id is least. A line of white space stays, as a class of its own. A null or empty
     text is one empty line. Rows repeated with one id share their decisions. Other columns are not
-    read; an empty table gives no rows. Equal lines are told by 64-bit hashes.
+    read; an empty table gives no rows. Equal lines and shingles are told by 64-bit hashes.
     """
     lines = explode_lines(docs, id_col, text_col)
     roots = line_components(lines, threshold)

@@ -76,11 +76,14 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
-def shingles(line, k=ld.SHINGLE):
+def shingles(text, k=ld.SHINGLE):
+    line = text.encode()
     return {line[i : i + k] for i in range(max(1, len(line) - k + 1))}
 
 
-def test_line_classes(docs, corpus):
+@pytest.mark.parametrize("broadcast", [ld.BROADCAST_SETS, 0])
+def test_line_classes(docs, corpus, monkeypatch, broadcast):
+    monkeypatch.setattr(ld, "BROADCAST_SETS", broadcast)
     lines = [(i, n, x) for i, t in corpus for n, x in enumerate((t or "").split("\n"))]
     places = collections.defaultdict(list)
     for i, n, x in lines:

@@ -169,7 +169,7 @@ def test_warc_in_small_splits(spark, tmp_path):
     whole = sorted((r.at, r.content_digest, r.type, r.id or 0) for r in warc.read_warc(spark, path).collect())
     old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
     try:
-        for size in (1009, 20_011):
+        for size in (4001, 60_013):
             spark.conf.set("spark.sql.files.maxPartitionBytes", size)
             spark.conf.set("spark.sql.files.openCostInBytes", 1)
             assert sorted((r.at, r.content_digest, r.type, r.id or 0) for r in warc.read_warc(spark, path).collect()) == whole
