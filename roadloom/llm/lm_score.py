@@ -1,4 +1,4 @@
-"""Language-model scoring: a hashed maximum-entropy model with class-factored softmax."""
+"""Language-model scoring: a hashed maximum-entropy model, its softmax factored into a tree of nested classes."""
 
 from __future__ import annotations
 
@@ -13,15 +13,21 @@ from pyspark.sql import functions as F
 from roadloom.llm import textscan as ts
 from roadloom.llm.cluster import stored
 
-SINGLE, SHARED = 24, 8
-CLASSES = SINGLE + SHARED
-FEATURE_BITS = 14
-FEATURES = 1 << FEATURE_BITS
 ROUNDS = 3
 SLICES = 64
+#: Slots of weights are the power of two from the distinct context features of the training rows divided by this.
+FEATURES_PER_SLOT = 4
+#: The least slots, so that small corpora have few collisions.
+LEAST_BITS = 16
+#: Feature hashes that a sketch of their distinct number keeps.
+SKETCH = 2048
+#: Tokens whose decisions are computed at once.
+STEP = 1 << 12
 #: Words whose counts are broadcast (8 + 8 bytes each); the others' meet their counts in a shuffle.
 TOP_WORDS = 1 << 17
 END = np.uint64(0x656E642D6F662D74)
+#: A weight's step is its gradient by RATE x decisions + DAMP.
+RATE, DAMP = 0.6, 30
 #: Distinct words that a task holds before it sends partial counts.
 HELD_WORDS = 400_000
 
@@ -70,87 +76,177 @@ def word_counts(column: DataFrame) -> DataFrame:
     return column.mapInArrow(scan, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def contexts(tokens: np.ndarray, docs: np.ndarray) -> list[np.ndarray]:
+    """Hashed features of each token: the word before, the two before as a pair, and the second and third before, each skipping those between."""
+    before = []
+    for k in (1, 2, 3):
+        word = np.full(len(tokens), 0x5F, np.uint64)
+        word[k:] = np.where(docs[k:] == docs[:-k], tokens[:-k], np.uint64(0x5F))
+        before.append(word)
+    one, two, three = before
+    pair = one * np.uint64(0x100000001B3) + two
+    return [ts.mix(x + np.uint64(salt * 0x9E3779B1)) for salt, x in ((1, one), (2, pair), (3, two), (5, three))]
+
+
+def least_hashes(hashes: np.ndarray) -> np.ndarray:
+    return np.unique(hashes)[:SKETCH]
+
+
+def distinct_features(train: DataFrame) -> int:
+    """Distinct context features of a table of one text column, from their ``SKETCH`` least hashes (exact below that many)."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, np.uint64)
+        for batch in batches:
+            for tokens, at, _ in token_chunks(batch.column(0)):
+                for f in contexts(tokens, at):
+                    held = least_hashes(np.r_[held, f[f <= held[-1]] if len(held) == SKETCH else f])
+        yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary())], ["held"])
+
+    held = np.zeros(0, np.uint64)
+    for row in train.mapInArrow(scan, "held binary").toLocalIterator():
+        held = least_hashes(np.r_[held, np.frombuffer(row["held"], np.uint64)])
+    return len(held) if len(held) < SKETCH else int((SKETCH - 1) / (float(held[-1]) / 2.0**64))
+
+
 @dataclass
 class Model:
+    """Each word is a leaf of a binary tree; every branch on the way to it is a logistic decision on the context.
+
+    Broadcast words have Shannon-Fano-Elias codes by count, ``offsets`` into the decisions of each
+    (the last: of all others together); below that the others part by ``hash_bits`` bits of their hash.
+    """
+
     words: np.ndarray  # sorted hashes of the most frequent words
     counts: np.ndarray
-    single: np.ndarray  # sorted hashes of the words that are classes of their own
-    single_class: np.ndarray
-    bias: np.ndarray
+    offsets: np.ndarray
+    nodes: np.ndarray
+    bits: np.ndarray
+    priors: np.ndarray  # log odds of the counts below a node
+    hash_bits: int
     weights: np.ndarray
-    class_size: np.ndarray  # log10 of the denominators within classes
-
-    def classes(self, tokens: np.ndarray) -> np.ndarray:
-        out = SINGLE + ((tokens >> np.uint64(40)) % np.uint64(SHARED)).astype(np.int64)
-        if len(self.single):
-            at = np.minimum(np.searchsorted(self.single, tokens), len(self.single) - 1)
-            out = np.where(self.single[at] == tokens, self.single_class[at], out)
-        return out
-
-    def contexts(self, tokens: np.ndarray, docs: np.ndarray) -> list[np.ndarray]:
-        """Features of each token: the word before, the two before as a pair, and the second and third before, each skipping those between."""
-        before = []
-        for k in (1, 2, 3):
-            word = np.full(len(tokens), 0x5F, np.uint64)
-            word[k:] = np.where(docs[k:] == docs[:-k], tokens[:-k], np.uint64(0x5F))
-            before.append(word)
-        one, two, three = before
-        pair = one * np.uint64(0x100000001B3) + two
-        out = []
-        for salt, x in ((1, one), (2, pair), (3, two), (5, three)):
-            out.append((ts.mix(x + np.uint64(salt * 0x9E3779B1)) >> np.uint64(64 - FEATURE_BITS)).astype(np.uint16))
-        return out
-
-    def probabilities(self, features: list[np.ndarray]) -> np.ndarray:
-        logits = np.tile(self.bias, (len(features[0]), 1))
-        for f in features:
-            logits += self.weights[f]
-        logits -= logits.max(1, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(1, keepdims=True)
-        return logits
-
-
-def gradient(docs: DataFrame, model) -> DataFrame:
-    """(slice, sums) of a table of one text column: summed gradients and feature counts in float32, for each slice of the features."""
-    per = FEATURES // SLICES
+
+    def find(self, tokens: np.ndarray) -> np.ndarray:
+        """Places of tokens among the broadcast words; their number for all others."""
+        if not len(self.words):
+            return np.zeros(len(tokens), np.int64)
+        at = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
+        return np.where(self.words[at] == tokens, at, len(self.words))
+
+    def decisions(self, tokens: np.ndarray, place: np.ndarray, features: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
+        """(token, bit, log odds, [(first decision, slots of the decisions from there)]) of every decision of the tokens."""
+        first, n = self.offsets[place], self.offsets[place + 1] - self.offsets[place]
+        token = np.repeat(np.arange(len(tokens)), n)
+        at = np.repeat(first - (np.cumsum(n) - n), n)
+        at += np.arange(len(at))
+        node, bit, logits = self.nodes[at], self.bits[at], self.priors[at]
+        known = len(token)
+        if self.hash_bits:
+            others = np.flatnonzero(place == len(self.words))
+            level = np.tile(np.arange(self.hash_bits, dtype=np.uint64), len(others))
+            leaf = np.repeat(tokens[others] >> np.uint64(64 - self.hash_bits), self.hash_bits)
+            deep = (np.uint64(1) << level) + (leaf >> (np.uint64(self.hash_bits) - level))
+            token = np.r_[token, np.repeat(others, self.hash_bits)]
+            node = np.r_[node, ts.mix(deep + np.uint64(1 << 62))]
+            bit = np.r_[bit, ((leaf >> (np.uint64(self.hash_bits - 1) - level)) & np.uint64(1)).astype(np.float32)]
+            logits = np.r_[logits, np.zeros(len(deep), np.float32)]
+        shift = np.uint64(64 - (len(self.weights).bit_length() - 1))
+        slots = []
+        for f in features:  # both are mixed, so that the first bits of their sum are as good as a hash of the pair
+            s = np.repeat(f, n)
+            if known < len(token):
+                s = np.r_[s, np.repeat(f[others], self.hash_bits)]
+            s += node
+            s >>= shift
+            slots.append((0, s.view(np.int64)))
+        if known < len(token):  # without counts of what is below them, these learn their odds
+            slots.append((known, (node[known:] >> shift).view(np.int64)))
+        for start, s in slots:
+            logits[start:] += self.weights[s]
+        return token, bit, logits, slots
+
+    def steps(self, tokens: np.ndarray, docs: np.ndarray) -> Iterator[tuple]:
+        """(first token, end token, decisions) of runs of tokens."""
+        features, place = contexts(tokens, docs), self.find(tokens)
+        for s in range(0, len(tokens), STEP):
+            e = min(s + STEP, len(tokens))
+            yield s, e, self.decisions(tokens[s:e], place[s:e], [f[s:e] for f in features])
+
+    def scores(self, tokens: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """log10 probability of each token's leaf."""
+        out = np.zeros(len(tokens))
+        for s, e, (token, bit, logits, _) in self.steps(tokens, docs):
+            out[s:e] = np.bincount(token, weights=np.logaddexp(0, np.where(bit > 0, -logits, logits)), minlength=e - s)
+        return out / -np.log(10)
+
+
+def tree(counts: np.ndarray, others: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets, nodes, bits, priors): the decisions of each word of ``counts`` and of all others, which weigh ``others``.
+
+    A code is the start of the middle of the word's share of [0, 1), heaviest words first; a node with all weight on one side asks nothing.
+    """
+    mass = np.r_[counts + 1, others]
+    order = np.argsort(-mass, kind="stable")
+    share = mass[order] / mass.sum()
+    sums = np.r_[0, np.cumsum(share)]
+    middle = sums[:-1] + share / 2
+    length = np.ceil(-np.log2(share)).astype(np.int64) + 1
+    code = np.floor(middle * 2.0**length).astype(np.int64)
+    words, depths, nodes, bits, priors = [], [], [], [], []
+    for d in range(int(length.max())):
+        w = np.flatnonzero(length > d)
+        prefix = code[w] >> (length[w] - d)
+        low, half, high = (np.searchsorted(middle, (prefix + x) / 2.0**d) for x in (0, 0.5, 1))
+        both = (low < half) & (half < high)
+        w, prefix, low, half, high = (x[both] for x in (w, prefix, low, half, high))
+        words.append(order[w])
+        depths.append(np.full(len(w), d))
+        nodes.append(prefix.astype(np.uint64) + np.uint64(1 << d))
+        bits.append(code[w] >> (length[w] - d - 1) & 1)
+        priors.append(np.log((sums[high] - sums[half]) / (sums[half] - sums[low])))
+    words, depths, nodes, bits, priors = (np.concatenate(x) for x in (words, depths, nodes, bits, priors))
+    sort = np.lexsort((depths, words))
+    offsets = np.r_[0, np.cumsum(np.bincount(words, minlength=len(mass)))]
+    return offsets, ts.mix(nodes[sort]), bits[sort].astype(np.float32), priors[sort].astype(np.float32)
+
+
+def gradient(docs: DataFrame, model, count: bool) -> DataFrame:
+    """(slice, sums) of a table of one text column: summed gradients, and after them the decisions if ``count``, in float32 for each slice of the slots; tasks send theirs rounded to 8 significant bits."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        sums = np.zeros((FEATURES, CLASSES + 1), np.float32)
+        sums = np.zeros((1 + count, len(m.weights)))
         for batch in batches:
             for tokens, at, _ in token_chunks(batch.column(0)):
-                features, wanted = m.contexts(tokens, at), m.classes(tokens)
-                error = np.ones((len(tokens), CLASSES + 1), np.float32)
-                error[:, :CLASSES] = m.probabilities(features)
-                error[np.arange(len(tokens)), wanted] -= 1
-                for f in features:
-                    order = np.argsort(f, kind="stable")
-                    f = f[order]
-                    edge = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
-                    sums[f[edge]] += np.add.reduceat(error[order], edge, axis=0)
-        sums = sums.reshape(SLICES, -1)
-        there = [i for i in range(SLICES) if sums[i].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array([sums[i].tobytes() for i in there], pa.binary())], ["slice", "sums"])
+                for _, _, (_, bit, logits, slots) in m.steps(tokens, at):
+                    error = (1 / (1 + np.exp(-logits)) - bit).astype(np.float64)
+                    for start, s in slots:
+                        np.add.at(sums[0], s, error[start:])
+                        if count:
+                            np.add.at(sums[1], s, 1.0)
+        for i, part in enumerate(np.split(sums, SLICES, axis=1)):
+            if part.any():
+                part = (part.astype(np.float32).view(np.uint32) + np.uint32(0x8000)) >> np.uint32(16)  # the first 16 bits: 8 of exponent, 7 of fraction
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.astype(np.uint16).tobytes()], pa.binary())], ["slice", "sums"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for at, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(part, np.float32)
+                part = (np.frombuffer(part, np.uint16).astype(np.uint32) << np.uint32(16)).view(np.float32)
                 total[at] = total[at] + part if at in total else part.astype(np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in total.values()], pa.binary())], ["slice", "sums"])
 
-    assert per * SLICES == FEATURES
+    # One set of sums for each core, however many files there are.
+    docs = docs.coalesce(docs.sparkSession.sparkContext.defaultParallelism)
     return docs.mapInArrow(scan, "slice int, sums binary").repartition("slice").mapInArrow(add, "slice int, sums binary")
 
 
 def fit(train: DataFrame, counts: DataFrame) -> tuple[Model, int, int, int]:
     """The model, and tokens and distinct tokens of ``train`` (one text column), and the least count of a broadcast word.
 
-    Counts and gradients cover every training document: round r reads those whose hash falls to it,
-    so that all rounds together are one pass, and ends with one update of the weights by the summed
-    gradient, each weight's step scaled by the count of its feature.
+    Each of ``ROUNDS`` updates reads every training row. Leaves grow with the vocabulary, slots with
+    the distinct features.
     """
     spark = train.sparkSession
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
@@ -165,27 +261,21 @@ def fit(train: DataFrame, counts: DataFrame) -> tuple[Model, int, int, int]:
     words, n = top["word"].to_numpy().view(np.uint64), top["n"].to_numpy().astype(np.float64)
     order = np.argsort(words)
     words, n = words[order], n[order]
-    best = np.lexsort((words, -n))[:SINGLE]
-    best = best[np.argsort(words[best])]
-    single, in_single = words[best], n[best]
-    group = (F.shiftrightunsigned("word", 40) % SHARED).alias("class")
-    rest = counts.where(~F.col("word").isin([int(x) for x in single.view(np.int64)])).groupBy(group).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
-    size, distinct = np.zeros(CLASSES), np.zeros(CLASSES)
-    size[: len(in_single)] = in_single
-    for row in rest:
-        size[SINGLE + row["class"]], distinct[SINGLE + row["class"]] = row["n"], row["v"]
-    prior = (size + 1) / (size.sum() + CLASSES)
-    model = Model(words, n, single, np.arange(len(single)), np.log(prior).astype(np.float32), np.zeros((FEATURES, CLASSES), np.float32), np.log10(size + distinct + 1))
-    for r in range(ROUNDS):
+    others = int(total["v"]) - len(words)
+    bits = max(LEAST_BITS, (distinct_features(train) // FEATURES_PER_SLOT).bit_length()) if total["n"] else LEAST_BITS
+    model = Model(words, n, *tree(n, int(total["n"]) - n.sum() + others + 1), others.bit_length() if others else 0, np.zeros(1 << bits, np.float32))
+    seen = np.zeros(1 << bits, np.float32)
+    k = (1 << bits) // SLICES
+    for r in range(ROUNDS if total["n"] else 0):
         held = spark.sparkContext.broadcast(model)
-        part = train.where(F.pmod(F.xxhash64(F.col(train.columns[0]), F.lit(3)), F.lit(ROUNDS)) == r)
-        sums = np.zeros((FEATURES, CLASSES + 1), np.float32)
-        for row in gradient(part, held).collect():
-            k = FEATURES // SLICES
-            sums[row["slice"] * k : (row["slice"] + 1) * k] = np.frombuffer(row["sums"], np.float32).reshape(k, -1)
-        step = 0.5 / (r + 1) * sums[:, :CLASSES] / (sums[:, CLASSES:] * prior.astype(np.float32) + 20)
-        model.weights -= np.clip(step, -2, 2)
-        held.unpersist()
+        for row in gradient(train, held, r == 0).toLocalIterator():  # a slice at a time, for the driver's memory
+            at = slice(row["slice"] * k, (row["slice"] + 1) * k)
+            sums = np.frombuffer(row["sums"], np.float32).reshape(-1, k)
+            if r == 0:
+                seen[at] = sums[1]
+            # Each weight's step is its summed gradient, scaled by the number of its decisions.
+            model.weights[at] -= np.clip(sums[0] / (RATE * seen[at] + DAMP), -2, 2)
+        held.destroy()
     return model, int(total["n"]), int(total["v"]), least
 
 
@@ -193,11 +283,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
     Learns from the rows with crc32(id as text) mod 7 other than 2 (a null id counts as held out).
-    base_score is the add-one unigram log10 probability; score that of the model, P(class of the
-    word | features of the words before) x P(word | class), where the words of a class share it by
-    add-one counts. A null or empty text is its end alone. Words are told apart by 64-bit hashes.
-    Rows repeated are scored each. Without training rows every word is unknown and the classes are
-    equally likely. Other columns are not read; an empty table gives no rows.
+    base_score is the add-one unigram log10 probability; score that of the model, the product of the
+    decisions of a tree with about a leaf for each word, each on the features of the words before.
+    Words that share a leaf (by hash, outside the broadcast ones) share it by add-one counts. A null or empty text is its end alone. Words are told apart by 64-bit hashes.
+    Rows repeated are scored each. Without training rows every word is unknown. Other columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
     held_out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 7 == 2, F.lit(True))
@@ -208,23 +297,15 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        known_log = np.log10(m.counts + 1)
+        known_log = np.r_[np.log10(m.counts + 1), 0]
         for batch in batches:
             out, rare = [], []
             for tokens, at, n in token_chunks(batch.column(0)):
-                classes = m.classes(tokens)
-                p = m.probabilities(m.contexts(tokens, at))[np.arange(len(tokens)), classes]
-                score = np.log10(np.maximum(p, 1e-30)).astype(np.float64)
-                shared = classes >= SINGLE
-                score -= np.where(shared, m.class_size[classes], 0)
-                if len(m.words):
-                    place = np.minimum(np.searchsorted(m.words, tokens), len(m.words) - 1)
-                    known = m.words[place] == tokens
-                    log = np.where(known, known_log[place], 0)
-                else:
-                    known, log = np.zeros(len(tokens), bool), np.zeros(len(tokens))
+                score, place = m.scores(tokens, at), m.find(tokens)
+                known = place < len(m.words)
+                log = known_log[place]
                 edges = np.searchsorted(at, np.arange(n))
-                sums = [np.add.reduceat(x, edges) for x in (np.ones(len(tokens)), known.astype(float), log, score + np.where(shared, log, 0))]
+                sums = [np.add.reduceat(x, edges) for x in (np.ones(len(tokens)), known.astype(float), log, score)]
                 out.append(np.stack(sums))
                 unknown = np.flatnonzero(~known)
                 cuts = np.searchsorted(at[unknown], np.arange(n + 1))
@@ -237,9 +318,12 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     rows = docs.select(F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), held_out.alias("held_out"))
     kind = rows.schema["id"].dataType.simpleString()
     summary = stored(rows.mapInArrow(scan, f"row bigint, id {kind}, held_out boolean, n_tokens bigint, known bigint, log double, model double, rare array<bigint>"), "summary")
-    # What is not broadcast has a low count, so that no key of this join is hot; what no count is found for was never seen and adds log10(1).
-    rare = summary.select("row", F.explode("rare").alias("word")).join(counts.where(F.col("n") < least), "word")
-    rare = rare.groupBy("row").agg(F.sum(F.log10(F.col("n") + 1)).alias("rare_log"), F.count(F.lit(1)).alias("rare_known"))
+    # What is not broadcast has a low count and few words to a leaf, so that no key of this join is hot; what no count is found for was never seen.
+    leaf = F.shiftrightunsigned("word", 64 - model.hash_bits) if model.hash_bits else F.lit(0).cast("bigint")
+    leaves = counts.where(F.col("n") < least).groupBy(leaf.alias("leaf")).agg((F.sum("n") + F.count(F.lit(1)) + 1).alias("all"), F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("held"))
+    rare = summary.select("row", F.explode("rare").alias("word")).withColumn("leaf", leaf).join(leaves, "leaf").select("row", "all", F.col("held")[F.col("word")].alias("n"))
+    log = F.log10(F.coalesce("n", F.lit(0)) + 1)
+    rare = rare.groupBy("row").agg(F.sum(log).alias("rare_log"), F.sum(log - F.log10("all")).alias("rare_share"), F.count("n").alias("rare_known"))
     joined = summary.drop("rare").join(rare, "row", "left")
     rare_log = F.coalesce("rare_log", F.lit(0.0))
     return joined.select(
@@ -249,5 +333,5 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(n_train).cast("bigint").alias("train_tokens"),
         (F.col("log") + rare_log - F.col("n_tokens") * F.log10(F.lit(float(n_train + vocabulary + 1)))).alias("base_score"),
-        (F.col("model") + rare_log).alias("score"),
+        (F.col("model") + F.coalesce("rare_share", F.lit(0.0))).alias("score"),
     )

@@ -42,6 +42,44 @@ def test_lm_learns_from_context(spark):
     assert sum(r.score for r in got) > 0.7 * sum(r.base_score for r in got)
 
 
+def test_lm_learns_which_word_of_many_follows(spark, monkeypatch):
+    """Each of 600 equally frequent words has one successor, which only a model of the words themselves can favour; with few broadcast words, too."""
+    rng = random.Random(4)
+    cycle = list(dict.fromkeys(words(rng, 3000)))[:600]
+    starts = [rng.randrange(600) for _ in range(1200)]
+    rows = [(i, " ".join(cycle[(s + k) % 600] for k in range(40))) for i, s in enumerate(starts)]
+    for top in (lm_score.TOP_WORDS, 100):
+        monkeypatch.setattr(lm_score, "TOP_WORDS", top)
+        got = lm_score.lm_scores(spark.createDataFrame(rows, "doc_id bigint, text string")).where("held_out").collect()
+        assert sum(r.score for r in got) > 0.4 * sum(r.base_score for r in got)
+
+
+def test_lm_grows_with_the_corpus(spark):
+    rng = random.Random(5)
+    small = [(" ".join(f"w{rng.randrange(2000)}" for _ in range(100)),) for _ in range(50)]
+    large = [(" ".join(f"w{rng.randrange(200_000)}" for _ in range(1000)),) for _ in range(500)]
+    models = []
+    for rows in (small, large):
+        train = spark.createDataFrame(rows, "text string")
+        models.append(lm_score.fit(train, lm_score.word_counts(train).cache())[0])
+    assert len(models[1].weights) >= 4 * len(models[0].weights)
+    assert len(models[1].nodes) > 20 * len(models[0].nodes) and models[1].hash_bits > 0
+
+
+def test_lm_probabilities_sum_to_one():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    tokens = np.sort(rng.integers(0, 1 << 63, 200, dtype=np.uint64) * np.uint64(2))
+    model = lm_score.Model(tokens, np.ones(200), *lm_score.tree(rng.integers(1, 500, 200).astype(float), 40.0), 3, rng.normal(0, 1, 1 << 12).astype(np.float32))
+    leaves = np.arange(8, dtype=np.uint64) << np.uint64(61)  # one unbroadcast word for each leaf of the others
+    every = np.r_[tokens, leaves + np.uint64(1)]
+    first = [np.tile(f, len(every)) for f in np.array([[5], [6], [7], [8]], np.uint64)]
+    token, bit, logits, _ = model.decisions(every, model.find(every), first)
+    p = np.exp(-np.bincount(token, weights=np.logaddexp(0, np.where(bit > 0, -logits, logits)), minlength=len(every)))
+    assert abs(p.sum() - 1) < 1e-4
+
+
 def junk(rng, n):
     kind = rng.randint(0, 2)
     w = words(rng, n)
