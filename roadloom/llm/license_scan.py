@@ -36,6 +36,8 @@ THRESHOLD = 0.9
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A block ends at a line feed, or at a mark that ends a sentence before white space.
 _BLOCK_END = r"\n|[.!?;](?=\s)"
+#: Statements wrapped over lines are sought in windows of words that end at a blank line or such a mark only.
+_PARAGRAPH_END = r"\n[\x20\t\r]*\n|[.!?;](?=\s)"
 _PHRASE = "(?<![^ ])(?:" + "|".join(PHRASES) + ")(?![^ ])"
 
 
@@ -57,6 +59,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Base: places where the words of a phrase stand one after the other. The method adds the labels of
     the templates of which some block of the text holds at least ``threshold`` of the distinct words;
+    blocks are lines or sentences, and overlapping windows of words that run on over line ends, each
+    statement of up to twice the longest template's words whole in one of them (a wrapped statement);
     score is 1 where a phrase stands, else the greatest such share, else 0. A null or empty text has
     no words and no labels; repeated rows are each scanned; templates of equal words each give their
     label; other columns are not read; an empty table gives no rows.
@@ -105,10 +109,16 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         index += [(token, t, label, i, ranks, n) for i, token in enumerate(ranks[: len(ranks) - n + 1])]
     index_df = docs.sparkSession.createDataFrame(index, "token int, template int, label string, place int, ranks array<int>, need int")
 
-    blocks = facts.where("lowered is not null").select("row", F.posexplode(F.split("lowered", _BLOCK_END)).alias("block", "text"))
-    blocks = blocks.select("row", "block", F.array_intersect(F.split(joined_words(F.col("text")), " "), vocabulary_lit).alias("tokens")).where(F.size("tokens") >= min(need))
-    blocks = blocks.select("row", "block", F.array_sort(F.transform("tokens", lambda w: rank_of[w])).alias("held"))
-    met = blocks.select("row", "block", "held", F.posexplode("held").alias("at", "token")).join(F.broadcast(index_df), "token")
+    reaching = facts.where("lowered is not null")
+    lines = reaching.select("row", F.explode(F.split("lowered", _BLOCK_END)).alias("text")).select("row", F.split(joined_words(F.col("text")), " ").alias("words"))
+    runs = reaching.select("row", F.explode(F.split("lowered", _PARAGRAPH_END)).alias("text")).where(F.col("text").contains("\n"))
+    runs = runs.select("row", F.split(joined_words(F.col("text")), " ").alias("words"))
+    step = 2 * max(len(words_of(text)) for _, text in templates)
+    windows = F.transform(F.sequence(F.lit(0), F.size("words") - 1, F.lit(step)), lambda i: F.slice("words", i + 1, 2 * step))
+    blocks = lines.unionAll(runs.select("row", F.explode(windows).alias("words")))
+    blocks = blocks.select("row", F.array_intersect("words", vocabulary_lit).alias("tokens")).where(F.size("tokens") >= min(need))
+    blocks = blocks.select("row", F.array_sort(F.transform("tokens", lambda w: rank_of[w])).alias("held"))
+    met = blocks.select("row", "held", F.posexplode("held").alias("at", "token")).join(F.broadcast(index_df), "token")
     met = met.where((F.size("held") >= F.col("need")) & (F.least(F.size("ranks") - F.col("place"), F.size("held") - F.col("at")) >= F.col("need")))
     share = F.size(F.array_intersect("held", "ranks")) / F.size("ranks")
     hits = met.where(F.size(F.array_intersect("held", "ranks")) >= F.col("need")).select("row", "label", share.alias("share"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import pytest
 from prose import LOW, WORD, mutate, words
@@ -39,6 +40,27 @@ def test_templates_need_most_of_their_words(spark):
     assert got == {0: "apache", 1: "", 2: "mit"}
 
 
+def test_wrapped_statements(spark):
+    """Each template wrapped at several widths, with comment marks, far into a text; not where its words are far apart or in different paragraphs."""
+    rows, want = [], {}
+    filler = " ".join(f"w{i}" for i in range(70))
+    for label, template in ls.TEMPLATES:
+        for width, mark in ((24, ""), (40, " * "), (30, "rem "), (36, "// ")):
+            lines = textwrap.wrap(f"{filler} {template} {filler}", width)
+            want[len(rows)] = label
+            rows.append((len(rows), "\r\n".join(mark + x for x in lines)))
+        words = ls.words_of(template)
+        if len(words) >= 10:
+            if not any(phrase in " ".join(words) for phrase in ls.PHRASES):
+                want[len(rows)] = None
+                rows.append((len(rows), "\n\n".join(words)))
+            want[len(rows)] = None
+            rows.append((len(rows), f"\n{filler}\n{filler}\n".join(words)))
+    got = {r.doc_id: r.labels.split(",") for r in ls.license_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, label in want.items():
+        assert label in got[i] if label else got[i] == [""], rows[i]
+
+
 def test_secret_spans(docs, corpus, nothing, tmp_path, spark):
     docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r for r in queries.op5_secrets(spark, str(tmp_path)).collect()}
