@@ -41,7 +41,8 @@ def node_of(words: np.ndarray) -> int:
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """(id, node, bands) of (id, text): the word sequence's number and one hash for each band; a text without words has no bands."""
-    masks = np.random.default_rng(20240301).integers(0, 1 << 63, size=bands * rows, dtype=np.uint64) * np.uint64(2)
+    # Minima of one hash under different masks depend on each other in small sets; a factor and a mixing step each make other orders.
+    factors = np.random.default_rng(20240301).integers(0, 1 << 63, size=bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,10 +55,15 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 if len(grams):
                     there, first = np.unique(gram_docs, return_index=True)
                     keys = np.zeros((bands, len(there)), np.uint64)
-                    for i, mask in enumerate(masks):
+                    hashed, high = np.empty_like(grams), np.empty_like(grams)
+                    for i, factor in enumerate(factors):
+                        np.multiply(grams, factor, out=hashed)
+                        np.right_shift(hashed, np.uint64(32), out=high)
+                        hashed ^= high
+                        hashed *= np.uint64(0xD6E8FEB86659FD93)
                         key = keys[i // rows]
                         key *= np.uint64(0x100000001B3)
-                        key += np.minimum.reduceat(grams ^ mask, first)
+                        key += np.minimum.reduceat(hashed, first)
                     keys ^= np.arange(bands, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
                     for d, key in zip(there, ts.mix(keys).view(np.int64).T, strict=True):
                         out[d] = key

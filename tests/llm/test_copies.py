@@ -148,5 +148,17 @@ def test_bands_meet_the_recall():
     assert 1 - (1 - 0.8**ld.ROWS) ** ld.BANDS > 0.998
 
 
+@pytest.mark.parametrize("grams", [5, 10, 20])
+def test_recall_on_small_sets(spark, grams):
+    """Pairs at the threshold among short texts, each of ``grams`` n-grams together, of which four fifths are common."""
+    pairs = 2000
+    rows = []
+    for p in range(pairs):
+        names = [f"w{p}x{k}" for k in range(grams)]
+        rows += [(2 * p, " ".join(names)), (2 * p + 1, " ".join(names[: grams * 4 // 5]))]
+    got = nj.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string"), n=1)
+    assert got.where("n_links = 1").count() >= 0.9965 * 2 * pairs
+
+
 def test_columns_stay(docs):
     assert ld.dedup_lines(docs.withColumn("dropped_lines", F.lit(1))).columns == [*docs.columns, "dropped_lines"]
