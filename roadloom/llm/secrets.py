@@ -19,8 +19,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "network")
 
-#: Runs that the network judges: at least 16 characters of key alphabets, a digit among them.
-CANDIDATE = re.compile(r"(?=[A-Za-z+/_=-]{0,64}[0-9])[A-Za-z0-9+/_=-]{16,}")
+#: Runs that the network judges: at least 16 characters of key alphabets.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 
 BEFORE, BODY, AFTER = 24, 48, 8
 WIDTH = BEFORE + BODY + AFTER
@@ -105,16 +105,20 @@ def labelled_findings(n: int, seed: int) -> tuple[list[bytes], np.ndarray]:
     mixed = lower + lower.upper() + digits
     word = lambda: "".join(pick("bcdfghklmnprstvz", 1) + pick("aeiou", 1) for _ in range(int(rng.integers(1, 4))))
     prose = lambda: " ".join(word() for _ in range(6))
+    syllable = lambda: pick("bcdfghklmnprstvz", int(rng.integers(0, 3))) + pick("aeiou", int(rng.integers(1, 3))) + pick("cdhlmnrstg", int(rng.integers(0, 3)))
+    compound = lambda: "".join(syllable() for _ in range(int(rng.integers(5, 9))))
+    named = lambda style: (word(), word().upper(), word().title(), compound() if rng.random() < 0.6 else compound().title())[style]
     windows, labels = [], []
     for _ in range(n):
         secret = rng.random() < 0.5
-        kind = int(rng.integers(0, 6))
+        kind = int(rng.integers(0, 8))
         if secret:
-            body = (pick(mixed, int(rng.integers(20, 48))), pick(mixed + "+/", 40) + "=", pick("abcdef" + digits, 32), word()[:3] + "_" + pick(mixed, 36), pick(lower.upper() + digits, 24), pick(mixed + "-_", int(rng.integers(20, 64))))[kind]
-            if not re.search(r"\d", body):
-                body += "7"
+            body = (pick(mixed, int(rng.integers(16, 48))), pick(mixed + "+/", 40) + "=", pick("abcdef" + digits, 32), word()[:3] + "_" + pick(mixed, 36), pick(lower.upper() + digits, 24), pick(mixed + "-_", int(rng.integers(20, 64))), pick(lower + lower.upper(), int(rng.integers(16, 48))), pick(mixed, int(rng.integers(16, 20))))[kind]
         else:
-            body = ("-".join(word() for _ in range(5)) + "-" + pick(digits, 2), "_".join(word() for _ in range(4)) + pick(digits, 1), pick("2", 1) + "0" + pick(digits, 2) + "-0" + pick("123456789", 1) + "-" + pick("12", 1) + pick(digits, 1) + "-" + word() + "-" + word(), pick(digits, int(rng.integers(16, 20))), "/".join(word() for _ in range(5)) + "/" + pick(digits, 1), "=" * int(rng.integers(12, 30)) + pick(digits, 4))[kind]
+            body = ("-".join(word() for _ in range(5)) + "-" + pick(digits, 2), "_".join(word() for _ in range(4)) + pick(digits, 1), pick("2", 1) + "0" + pick(digits, 2) + "-0" + pick("123456789", 1) + "-" + pick("12", 1) + pick(digits, 1) + "-" + word() + "-" + word(), pick(digits, int(rng.integers(16, 20))), "/".join(word() for _ in range(5)) + "/" + pick(digits, 1), "=" * int(rng.integers(12, 30)) + pick(digits, 4), ("-", "_", "/")[int(rng.integers(0, 3))].join(named(int(rng.integers(0, 3))) for _ in range(6)), named(3) if rng.random() < 0.8 else pick("=-_/+", 1) * int(rng.integers(16, 60)))[kind]
+            while len(body) < 16:
+                body += word()
+
         lead = prose()
         if rng.random() < (0.5 if secret else 0.25):
             lead += " " + ("key", "token", "secret", "auth", "id", "name")[int(rng.integers(0, 4 if secret else 6))] + (" = ", ": ", '="')[int(rng.integers(0, 3))]

@@ -86,6 +86,21 @@ def test_network_keeps_the_recall_on_new_findings():
     assert (scores[labels == 0] >= net.threshold).mean() <= 0.05
 
 
+def test_keys_without_digits_and_short_keys_are_found():
+    """Recall over candidate search and network together."""
+    rng = random.Random(17)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    net = secrets.trained_network()
+    for alphabet, low, high in ((letters, 24, 40), (letters, 16, 19), (letters + "0123456789", 16, 19)):
+        seen = []
+        for _ in range(300):
+            key = "".join(rng.choices(alphabet, k=rng.randint(low, high)))
+            text = f"they said auth = {key} and went"
+            found = [(m.start(), m.end()) for m in secrets.CANDIDATE.finditer(text)]
+            seen.append(found == [(17, 17 + len(key))] and net.scores([secrets.window(text, *found[0])])[0] >= net.threshold)
+        assert sum(seen) >= 0.95 * len(seen), (alphabet, low)
+
+
 def test_network_adds_spans(spark):
     rng = random.Random(3)
     key = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=40))
