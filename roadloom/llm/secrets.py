@@ -23,6 +23,9 @@ KINDS = ("assign", "access", "hex", "network")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 
 BEFORE, BODY, AFTER = 24, 48, 8
+STRIDE = 8
+#: Parts of a long candidate that may be keys of their own.
+PIECE = re.compile(r"[A-Za-z0-9]{16,}")
 WIDTH = BEFORE + BODY + AFTER
 CLASSES = 48
 FILTERS, SPAN = 24, 5
@@ -45,14 +48,21 @@ SYMBOL = _symbols()
 
 
 def window(text: str, start: int, end: int) -> bytes:
-    """The candidate with its surroundings in ``WIDTH`` bytes, padded with zeros; a long candidate shows its first and last characters."""
-    body = text[start:end]
-    if len(body) > BODY:
-        body = body[: BODY - 16] + body[-16:]
-    parts = (text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0"), body.ljust(BODY, "\0"), text[end : end + AFTER].ljust(AFTER, "\0"))
+    """The first ``BODY`` characters of the candidate with its surroundings in ``WIDTH`` bytes, padded with zeros."""
+    end = min(end, start + BODY)
+    parts = (text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0"), text[start:end].ljust(BODY, "\0"), text[end : end + AFTER].ljust(AFTER, "\0"))
     return "".join(parts).encode("latin-1", "replace")
 
 
+def windows_of(text: str, start: int, end: int) -> list[bytes]:
+    """Views of a candidate: a long one shows every ``BODY`` characters from steps of ``STRIDE``, the last ones, and each piece between marks."""
+    if end - start <= BODY:
+        return [window(text, start, end)]
+    at = {(s, s + BODY) for s in range(start, end - BODY, STRIDE)} | {(end - BODY, end)}
+    at |= {(m.start(), m.end()) for m in PIECE.finditer(text, start, end)}
+    return [window(text, s, e) for s, e in sorted(at)]
+
+
 @dataclass
 class Network:
     """embedding -> convolution -> maximum over positions -> logistic output, with Platt scaling and a threshold."""
@@ -166,7 +176,7 @@ def trained_network(n: int = 3000, epochs: int = 5, seed: int = 11) -> Network:
         net.shift -= 0.05 * float(error.mean())
     windows, labels = labelled_findings(1500, seed + 2)
     secret = np.sort(net.scores(windows)[labels == 1])
-    net.threshold = max(0.5, float(secret[int((1 - RECALL) * len(secret))]))
+    net.threshold = float(secret[int((1 - RECALL) * len(secret))])
     return net
 
 
@@ -201,10 +211,12 @@ def secret_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 taken = [(s, e) for s, _, e in base]
                 for m in CANDIDATE.finditer(text):
                     if not any(s < m.end() and m.start() < e for s, e in taken):
-                        pending.append((row, m.start(), m.end()))
-                        windows.append(window(text, m.start(), m.end()))
+                        views = windows_of(text, m.start(), m.end())
+                        pending.append((row, m.start(), m.end(), len(windows)))
+                        windows += views
             found_out: list[list] = [[] for _ in base_out]
-            for (row, s, e), score in zip(pending, net.scores(windows), strict=True):
+            best = np.maximum.reduceat(net.scores(windows), [first for *_, first in pending]) if pending else []
+            for (row, s, e, _), score in zip(pending, best, strict=True):
                 if score >= net.threshold:
                     found_out[row].append({"kind": KINDS[3], "start": s, "end": e, "score": float(score)})
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base_out, out_type), pa.array(found_out, out_type)], ["id", "base", "found"])

@@ -101,6 +101,24 @@ def test_keys_without_digits_and_short_keys_are_found():
         assert sum(seen) >= 0.95 * len(seen), (alphabet, low)
 
 
+def test_keys_within_long_runs_are_seen(spark):
+    rng = random.Random(23)
+    rows = []
+    for i in range(60):
+        key = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=32))
+        path = ["/".join(rng.choices(["lemo", "data", "papi", "roze", "kila", "suma"], k=14)) for _ in range(2)]
+        rows += [(2 * i, f"see {path[0]}/{key}/{path[1]} there"), (2 * i + 1, f"see {path[0]}/{path[1]} there")]
+    got = {r.doc_id: bool(r.found) for r in secrets.secret_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert sum(got[2 * i] for i in range(60)) >= 57 and sum(got[2 * i + 1] for i in range(60)) <= 6
+
+
+def test_threshold_is_the_quantile():
+    net = secrets.trained_network()
+    windows, labels = secrets.labelled_findings(1500, 13)
+    kept = (net.scores(windows)[labels == 1] >= net.threshold).mean()
+    assert secrets.RECALL <= kept <= secrets.RECALL + 0.005
+
+
 def test_network_adds_spans(spark):
     rng = random.Random(3)
     key = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=40))
