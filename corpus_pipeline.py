@@ -28,17 +28,23 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of the n-gram Jaccard join, that of the smallest id; null ids stay."""
-    joined = ngram_join.ngram_jaccard_join(docs)
-    gone = joined.where("doc_id != class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The documents of the smallest id of each class of the n-gram Jaccard join, which is made by rows; null ids stay."""
+    key = fresh(docs, "row_key")
+    keyed = stored(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    joined = ngram_join.ngram_jaccard_join(keyed.where("doc_id is not null"), id_col=key).where("n_links > 0")
+    members = joined.select(key, "class_id").join(keyed.select(key, "doc_id"), key)
+    least = members.groupBy("class_id").agg(F.min("doc_id").alias("least"))
+    gone = members.join(least, "class_id").where("doc_id != least").select(key)
+    return keyed.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage within the error budget of a benchmark item."""
-    hits = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    gone = stored(hits.select("doc_id").where("doc_id is not null").distinct(), "contaminated")
-    return docs.join(line_dedup.within(gone), "doc_id", "left_anti").select(*docs.columns)
+    """Documents without a passage within the error budget of a benchmark item; rows are told by their text, whatever their id."""
+    key = fresh(docs, "text_key")
+    keyed = docs.withColumn(key, F.sha2(F.col("text").cast("binary"), 256))
+    hits = decontaminate.contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col=key)
+    gone = stored(hits.select(key).distinct(), "contaminated")
+    return keyed.join(line_dedup.within(gone), key, "left_anti").select(*docs.columns)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

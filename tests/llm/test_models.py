@@ -208,3 +208,21 @@ def test_pipeline(spark, tmp_path, labelled):
     packed = cp.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.select("doc_id").collect()} == set(left)
     assert [name for name, _ in cp.STAGES] == ["quality classifier", "line dedup", "n-gram Jaccard join", "benchmark decontamination", "packing"]
+
+
+def test_stages_decide_by_row(spark, tmp_path):
+    """Null and repeated ids: what was hit goes, and nothing that shares its id."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(21)
+    item, text = " ".join(words(rng, 25)), [sentence_text(rng, 60) for _ in range(4)]
+    spark.createDataFrame([(0, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def left(stage, rows):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+        return sorted(((r.doc_id, r.text) for r in stage(spark, docs, str(tmp_path)).collect()), key=str)
+
+    clean = [(1, text[0]), (None, text[1]), (2, None), (None, None)]
+    assert left(cp.drop_contaminated, [*clean, (None, text[2] + " " + item), (1, item)]) == sorted(clean, key=str)
+    kept = [(1, text[0]), (5, text[1]), (None, text[0]), (None, text[2])]
+    assert left(cp.drop_near_duplicates, [*kept, (5, text[0])]) == sorted(kept, key=str)
