@@ -17,8 +17,9 @@ SHINGLE = 8
 #: shingle meets a third of the minima only. Two lines at similarity 0.8 share a band with probability 0.998.
 PARTS, PART_BANDS, ROWS = 3, 3, 3
 BANDS = PARTS * PART_BANDS
-#: Of all hashes, two lines at 0.8 agree in at least so many with probability over 0.9997.
-LEAST_EQUAL = 14
+#: Of all hashes, two lines at 0.8 agree in at least so many with probability over 0.9997, short lines (whose minima
+#: depend on each other) included.
+LEAST_EQUAL = 9
 THRESHOLD = 0.8
 #: A table of line numbers (8 to 32 bytes each) of at most so many rows is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 1_000_000

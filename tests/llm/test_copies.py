@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import pytest
@@ -106,6 +107,23 @@ def test_line_classes(docs, corpus, monkeypatch, broadcast):
         assert kept[i].text == (None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if want[i, n][3]))
 
 
+def test_short_lines_agree_in_enough_hashes(spark):
+    """Lines of 10 and 8 shingles, 8 of them common: similarity 0.8."""
+    rng = random.Random(31)
+    pairs = 8000
+    rows = []
+    for p in range(pairs):
+        line = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=17))
+        rows += [(2 * p, line), (2 * p + 1, line[:15])]
+    found = ld.line_signatures(spark.createDataFrame(rows, "line_id bigint, line string"))
+    names = [n for n in found.columns if n not in ("line_id", "part")]
+    minima = collections.defaultdict(lambda: [None] * (ld.PARTS * len(names)))
+    for r in found.collect():
+        minima[r.line_id][r.part * len(names) : (r.part + 1) * len(names)] = r[2:]
+    lost = sum(sum(a == b for a, b in zip(minima[2 * p], minima[2 * p + 1], strict=True)) < ld.LEAST_EQUAL for p in range(pairs))
+    assert lost <= 0.0003 * pairs
+
+
 def test_lines_of_odd_rows(spark, nothing):
     assert ld.line_classes(nothing).count() == 0 and ld.dedup_lines(nothing).count() == 0
     rows = spark.createDataFrame([(None, "one line of some length"), (3, "one line of some length"), (3, None)], "doc_id bigint, text string")
