@@ -11,12 +11,20 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A table of a few numbers a row (8 to 40 bytes) is broadcast up to so many rows; a larger one is shuffled.
+BROADCAST_ROWS = 1_000_000
+#: Parts of a hot key's rows that meet its one row of the other side apart.
+SALTS = 16
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one only where the session names none (tests)."""
+    """The shared folder of the cluster; a local one only where the session names none and runs on one machine (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share.")
         root = "file://" + os.path.join(tempfile.gettempdir(), "roadloom-scratch")
     return root.rstrip("/")
 
@@ -56,3 +64,22 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def few(rows: DataFrame) -> bool:
+    return rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def within(rows: DataFrame) -> DataFrame:
+    """``rows``, marked for broadcast if they are few."""
+    return F.broadcast(rows) if few(rows) else rows
+
+
+def met(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
+    """Left join with a table of one row for each ``key``: broadcast if it is small; else rows of ``left`` are dealt apart by a hash of ``by``, so that a hot key is no single task's."""
+    if few(right):
+        return left.join(F.broadcast(right), key, "left")
+    salt = fresh(left, "salt")
+    right = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    left = left.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    return left.join(right, [key, salt], "left").drop(salt)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.cluster import discard, stored
+from roadloom.llm.cluster import discard, met, stored
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,8 +13,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Each round hooks every node to its smallest neighbour if that is smaller, flattens the trees by
     pointer jumping and contracts the edges to roots, which at least halves the nodes that still have
-    edges. All rounds are DataFrame joins on tables in the shared folder. Loops, repeated edges and
-    null ends are dropped; an empty table gives no rows.
+    edges. All rounds are DataFrame joins on tables in the shared folder; what is joined to a hot root
+    or the centre of a star is one row for each node that has another parent, broadcast if few and
+    salted else (``met``). Loops, repeated edges and null ends are dropped; an empty table gives no rows.
     """
     ends = F.col(a), F.col(b)
     edges = edges.where(ends[0] != ends[1]).select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).distinct()
@@ -24,21 +25,22 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
         parents = stored(both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("root")), "parents")
         while True:
-            up = parents.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            jumped = parents.join(up, "root").select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved"))
+            up = parents.where("node != root").select(F.col("node").alias("root"), F.col("root").alias("above"))
+            jumped = met(parents, up, "root", "node").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved"))
             jumped = stored(jumped, "jumped")
             discard(parents)
             parents = jumped.select("node", "root")
             if not jumped.where("moved").limit(1).count():
                 break
+        up = parents.where("node != root").select("node", F.col("root").alias("above"))
         if mapping is None:
             mapping = parents
         else:
-            up = parents.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            mapping = stored(mapping.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "mapping")
-        ups = [parents.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b")]
-        moved = edges.join(ups[0], "a").join(ups[1], "b").select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b"))
-        old, edges = edges, stored(moved.where("a != b").distinct(), "edges")
+            old, mapping = mapping, stored(met(mapping, up.withColumnRenamed("node", "root"), "root", "node").select("node", F.coalesce("above", "root").alias("root")), "mapping")
+            discard(old)
+        moved = met(edges, up.withColumnRenamed("node", "a"), "a", "b").select(F.coalesce("above", "a").alias("a"), "b")
+        moved = met(moved, up.withColumnRenamed("node", "b"), "b", "a").select("a", F.coalesce("above", "b").alias("b"))
+        old, edges = edges, stored(moved.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
         discard(old)
     if mapping is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -3,31 +3,25 @@
 from __future__ import annotations
 
 import random
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.cluster import discard, fresh, stored
+from roadloom.llm.cluster import discard, fresh, met, stored, within
 from roadloom.llm.components import connected_components
 
-#: Bytes of a shingle, which are characters in ASCII text.
+#: Characters of a shingle, as UTF-16 counts them: one beyond the basic plane is two.
 SHINGLE = 8
-#: A line's shingles fall to ``PARTS`` by their hash; each part has ``PART_BANDS`` bands of ``ROWS`` minima, so that a
-#: shingle meets a third of the minima only. Two lines at similarity 0.8 share a band with probability 0.998.
-PARTS, PART_BANDS, ROWS = 3, 3, 3
-BANDS = PARTS * PART_BANDS
-#: Of all hashes, two lines at 0.8 agree in at least so many with probability over 0.9997, short lines (whose minima
-#: depend on each other) included.
-LEAST_EQUAL = 9
+#: A line's shingles fall to ``PARTS`` by their hash, so that each meets the ``MINIMA`` of its part only; every part has
+#: a band for each of ``BANDS``, four minima each. Two lines at similarity 0.8 share a band with probability 0.99, at
+#: 0.85 with 0.998, at 0.5 with 0.49.
+PARTS, MINIMA = 4, 6
+BANDS = ((0, 1, 2, 3), (2, 3, 4, 5), (0, 1, 4, 5))
 THRESHOLD = 0.8
-#: A table of line numbers (8 to 32 bytes each) of at most so many rows is broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 1_000_000
-#: Sets of shingles of at most so many bytes together are broadcast to the pairs that name them; larger ones are made for each pair.
-BROADCAST_SETS = 32_000_000
-
-_MINIMA = [f"s{i}" for i in range(PART_BANDS * ROWS)]
-_NAMES = [f"p{p}_{n}" for p in range(PARTS) for n in _MINIMA]
+#: Shingles that one step of the generated code hashes.
+STEP = 16
+#: In buckets, pairs are compared by sets of 32-bit hashes; what comes within so much of the threshold is compared again by 64 bits.
+SLACK = 0.01
 
 
 def explode_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -36,106 +30,98 @@ def explode_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.withColumn("line_id", F.when(F.trim("line", F.lit(" \t\r\x0b\x0c")) != "", F.xxhash64("line")))
 
 
-def line_signatures(lines: DataFrame) -> DataFrame:
-    """(line_id, part, s0, s1, ...): the least of every hash over the shingles of each distinct line that fall to the part.
+def line_keys(lines: DataFrame) -> DataFrame:
+    """(line_id, key): one key for each band of each distinct line.
 
-    Shingles are cut from bytes, so that none is sought from the start of a long line; the minima are
-    aggregated before the shuffle, which carries signatures alone.
+    Two bytes a character let a shingle be cut anywhere without a search from the start of the line.
+    Minima are aggregated before the shuffle. A line without a shingle in a part has no band there.
     """
-    found = lines.where("line_id is not null").select("line_id", F.encode("line", "UTF-8").alias("bytes"))
-    found = found.select("line_id", "bytes", F.explode(F.expr(f"sequence(1, greatest(octet_length(bytes) - {SHINGLE - 1}, 1))")).alias("at"))
-    found = found.select("line_id", F.expr(f"hash(substring(bytes, at, {SHINGLE}))").alias("h"))
+    found = lines.where("line_id is not null").select("line_id", F.encode("line", "UTF-16BE").alias("units"))
+    found = found.select("line_id", "units", F.explode(F.expr(f"sequence(1, greatest(octet_length(units) - {2 * SHINGLE - 2}, 1), 2)")).alias("at"))
+    found = found.select("line_id", F.expr(f"hash(substring(units, at, {2 * SHINGLE}))").alias("h"))
     rng = random.Random(20240305)
-    minima = [F.min(F.col("h").bitwiseXOR(F.lit(rng.getrandbits(32) - (1 << 31)))).alias(n) for n in _MINIMA]
-    return found.groupBy("line_id", F.pmod(F.shiftrightunsigned("h", 3), F.lit(PARTS)).alias("part")).agg(*minima)
-
-
-def shingles(line: str) -> Column:
-    """The hashes of the set of shingles of a line; a shorter line is its own."""
-    return F.expr(f"array_distinct(transform(sequence(1, greatest(octet_length({line}) - {SHINGLE - 1}, 1)), i -> xxhash64(substring({line}, i, {SHINGLE}))))")
+    minima = [F.min(F.col("h").bitwiseXOR(F.lit(rng.getrandbits(32) - (1 << 31)))).alias(f"m{i}") for i in range(MINIMA)]
+    signatures = found.groupBy("line_id", F.expr(f"cast(h & {PARTS - 1} as tinyint)").alias("part")).agg(*minima)
+    bands = F.array(*(F.xxhash64("part", F.lit(i), *(f"m{j}" for j in band)) for i, band in enumerate(BANDS)))
+    return signatures.select("line_id", F.explode(bands).alias("key"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of line ids whose sets of shingles have a Jaccard similarity of at least ``threshold``.
+def shingle_sets(texts: DataFrame, hashed: str = "xxhash64") -> DataFrame:
+    """(line_id, held) of (line_id, line): the distinct hashes of the line's shingles; a shorter line is its own.
 
-    ``texts`` has the lines that the pairs name. Where all their sets are small enough together they are
-    made once and broadcast; else each pair makes its two from the shuffled lines.
+    Runs of ``STEP`` shingles are hashed by generated code and put together, since functions over
+    arrays are not compiled.
     """
-    volume = 8 * (texts.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0)
-    held = texts.select("line_id", shingles("bytes").alias("held")) if volume <= BROADCAST_SETS else texts.select("line_id", F.col("bytes").alias("held"))
-    if volume <= BROADCAST_SETS:
-        held = stored(held, "sets")
-    sides = [held.select(F.col("line_id").alias(c), F.col("held").alias(f"held_{c}")) for c in "ab"]
-    if volume <= BROADCAST_SETS:
-        sides = [F.broadcast(side) for side in sides]
-    both = pairs.join(sides[0], "a").join(sides[1], "b")
-    x, y = (F.col(c) if volume <= BROADCAST_SETS else shingles(c) for c in ("held_a", "held_b"))
+    units = texts.select("line_id", F.encode("line", "UTF-16BE").alias("units")).withColumn("last", F.expr(f"greatest(octet_length(units) - {2 * SHINGLE - 2}, 1)"))
+    runs = units.select("line_id", "units", "last", F.explode(F.expr(f"sequence(1, last, {2 * STEP})")).alias("at"))
+    hashes = F.array(*(F.expr(f"{hashed}(substring(units, least(at + {2 * k}, last - (last - 1) % 2), {2 * SHINGLE}))") for k in range(STEP)))
+    return runs.groupBy("line_id").agg(F.flatten(F.collect_list(hashes)).alias("held")).select("line_id", F.array_distinct("held").alias("held"))
 
-    def enough(r: Column) -> Column:
-        return r["common"] >= threshold * (r["total"] - r["common"]) - 1e-9
 
-    def counts(s: Column) -> Column:
-        return F.struct(F.size(F.array_intersect(s["x"], s["y"])).alias("common"), (F.size(s["x"]) + F.size(s["y"])).alias("total"))
+def similar(x: Column, y: Column, threshold: float) -> Column:
+    common = F.size(F.array_intersect(x, y))
+    least = threshold / (1 + threshold)
+    sizes = F.size(x) + F.size(y)
+    # Sets of too different sizes need no intersection.
+    return (F.least(F.size(x), F.size(y)) >= threshold * F.greatest(F.size(x), F.size(y)) - 1e-9) & (common >= least * sizes - 1e-9)
 
-    # One-element arrays bind what is costly, so that it is computed once.
-    sets = F.array(F.struct(x.alias("x"), y.alias("y")))
-    return both.where(F.exists(F.transform(sets, counts), enough)).select("a", "b")
 
-
-def within(ids: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``ids``, marked for broadcast if they are few."""
-    return F.broadcast(ids) if ids.limit(limit + 1).count() <= limit else ids
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of line ids whose sets of shingles have a Jaccard similarity of at least ``threshold``."""
+    sides = [sets.select(F.col("line_id").alias(c), F.col("held").alias(f"held_{c}")) for c in "ab"]
+    return pairs.join(sides[0], "a").join(sides[1], "b").where(similar(F.col("held_a"), F.col("held_b"), threshold)).select("a", "b")
 
 
 def line_components(lines: DataFrame, threshold: float) -> DataFrame:
     """(line_id, root) of every distinct line that is similar to another.
 
-    Lines that share a band are compared with one line of their bucket, chosen by hash. What is
-    similar merges. Where a bucket still has several components, the lines outside its largest meet
-    all others of the bucket; of these pairs only those of different components whose signatures
-    agree often enough leave the join, so that a large group of copies is never listed pair by pair.
+    Lines that share a band are compared with one line of their bucket, chosen by hash; what is
+    similar merges. Where a bucket still has several components, every pair of different components
+    there is compared inside the join, in the least bucket that the two share; only similar ones leave
+    it, so that a large group of near copies is never listed pair by pair and no link is lost.
     """
-    signatures = stored(line_signatures(lines), "signatures")
-    bands = F.array(*(F.xxhash64(F.col("part"), F.lit(i), *_MINIMA[i * ROWS : (i + 1) * ROWS]) for i in range(PART_BANDS)))
-    keys = signatures.select("line_id", F.explode(bands).alias("key"))
-    # Another line stands first in each bucket of a group: its members meet as many lines as they share bands.
-    order = F.xxhash64("key", "line_id")
-    buckets = keys.groupBy("key").agg(F.min_by("line_id", order).alias("first"), F.min(order).alias("low"), F.max(order).alias("high")).where("low != high").select("key", "first")
+    keys = stored(line_keys(lines), "keys")
+    buckets = keys.groupBy("key").agg(F.min("line_id").alias("low"), F.max("line_id").alias("high")).where("low != high").select("key")
     members = stored(keys.join(within(stored(buckets, "buckets")), "key"), "members")
-    pairs = members.where("line_id != first").select(F.least("first", "line_id").alias("a"), F.greatest("first", "line_id").alias("b")).distinct()
+    discard(keys)
     needed = stored(members.select("line_id").distinct(), "needed")
-    texts = lines.select("line_id", "line").join(within(needed), "line_id").groupBy("line_id").agg(F.first(F.encode("line", "UTF-8")).alias("bytes"))
-    texts = stored(texts, "texts")
-    edges = stored(verified(pairs, texts, threshold), "edges")
+    texts = stored(lines.select("line_id", "line").join(within(needed), "line_id").groupBy("line_id").agg(F.first("line").alias("line")), "texts")
+    sets = stored(shingle_sets(texts), "sets")
+
+    # Another line stands first in each bucket of a group: its members meet as many lines as they share bands.
+    firsts = members.groupBy("key").agg(F.min_by("line_id", F.xxhash64("key", "line_id")).alias("first"))
+    members = stored(met(members, stored(firsts, "firsts"), "key", "line_id"), "members")
+    pairs = members.where("line_id != first").select(F.least("first", "line_id").alias("a"), F.greatest("first", "line_id").alias("b")).distinct()
+    edges = stored(verified(pairs, sets, threshold), "edges")
     roots = connected_components(edges)
 
-    # Pairs that no first line has joined: exact, for buckets that aren't of one component yet.
-    large = members.join(roots.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("root", F.coalesce("root", "line_id"))
+    large = met(members, roots.withColumnRenamed("node", "line_id"), "line_id", "key").withColumn("root", F.coalesce("root", "line_id"))
     counted = large.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     split = counted.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "main")
-    open_members = stored(large.join(split, "key").where("line_id != first").select("key", "line_id", "root", "main"), "open")
-    minima = [F.max(F.when(F.col("part") == p, F.col(n))).alias(f"p{p}_{n}") for p in range(PARTS) for n in _MINIMA]
-    wide = signatures.join(within(open_members.select("line_id").distinct()), "line_id").groupBy("line_id").agg(*minima)
-    open_members = open_members.join(wide, "line_id")
-    x = open_members.where("root != main").select("key", F.struct("line_id", "root", *_NAMES).alias("x"))
-    y = open_members.select("key", F.struct("line_id", "root", *_NAMES).alias("y"), "main")
-    equal = reduce(lambda p, q: p + q, [F.col(f"x.{n}").eqNullSafe(F.col(f"y.{n}")).cast("int") for n in _NAMES])
-    different = F.col("x.root") != F.col("y.root")
-    once = (F.col("x.line_id") < F.col("y.line_id")) | (F.col("y.root") == F.col("main"))
-    more = x.join(y, (x["key"] == y["key"]) & different & once & (equal >= LEAST_EQUAL))
-    more = more.select(F.least("x.line_id", "y.line_id").alias("a"), F.greatest("x.line_id", "y.line_id").alias("b")).distinct()
-    open_texts = stored(texts.join(within(open_members.select("line_id").distinct()), "line_id", "left_semi"), "open-texts")
-    more = stored(verified(more, open_texts, threshold), "more")
+    opened = stored(met(large, stored(split, "split"), "key", "line_id").where("main is not null").select("key", "line_id", "root", "main"), "opened")
+    if not opened.limit(1).count():
+        return roots.withColumnRenamed("node", "line_id")
+    # A line has at most as many keys as there are bands.
+    shared = opened.groupBy("line_id").agg(F.collect_list("key").alias("keys"))
+    short = shingle_sets(texts.join(within(shared.select("line_id")), "line_id", "left_semi"), "hash")
+    both = stored(shared.join(short, "line_id"), "open-sets")
+    rows = opened.join(both, "line_id").select("key", "main", F.struct("line_id", "root", "keys", "held").alias("x"))
+    x, y = rows.where("x.root != main"), rows.select("key", F.col("main").alias("main_y"), F.col("x").alias("y"))
+    once = (F.col("x.line_id") < F.col("y.line_id")) | (F.col("y.root") == F.col("main_y"))
+    here = F.array_min(F.array_intersect("x.keys", "y.keys")) == x["key"]
+    near = similar(F.col("x.held"), F.col("y.held"), threshold - SLACK)
+    found = x.join(y, (x["key"] == y["key"]) & (F.col("x.root") != F.col("y.root")) & once & here & near)
+    found = found.select(F.least("x.line_id", "y.line_id").alias("a"), F.greatest("x.line_id", "y.line_id").alias("b"))
+    more = stored(verified(stored(found, "found"), sets, threshold), "more")
     if more.limit(1).count():
         roots = connected_components(edges.unionAll(more))
-    discard(signatures)
     return roots.withColumnRenamed("node", "line_id")
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per line of every text: id, line_no (from 0), rep_id, rep_line_no, class_size, kept.
 
-    Lines end at line feeds. Two lines are similar when their sets of 8-byte shingles have a
+    Lines end at line feeds. Two lines are similar when their sets of shingles of 8 characters have a
     Jaccard similarity of at least ``threshold`` (a shorter line is its own shingle); classes are the
     connected components. The occurrence of least id, then line number, stays and represents its
     class; a null id is least. A line of white space stays, as a class of its own. A null or empty
@@ -144,11 +130,11 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     lines = explode_lines(docs, id_col, text_col)
     roots = line_components(lines, threshold)
-    at = lines.select("id", "line_no", "line_id")
-    at = at.join(within(roots), "line_id", "left").select("id", "line_no", F.coalesce("root", "line_id").alias("class"))
+    at = met(lines.select("id", "line_no", "line_id"), roots, "line_id", "id").select("id", "line_no", F.coalesce("root", "line_id").alias("class"))
+    at = stored(at, "lines")
     first = F.min(F.struct(F.col("id").alias("rep_id"), F.col("line_no").alias("rep_line_no")))
     classes = at.where("class is not null").groupBy("class").agg(first.alias("first"), F.count(F.lit(1)).alias("class_size")).where("class_size > 1")
-    out = at.join(classes, "class", "left")
+    out = met(at, stored(classes, "classes"), "class", "id")
     rep_id = F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("first.rep_id"))
     out = out.select("id", "line_no", rep_id.alias("rep_id"), F.coalesce("first.rep_line_no", "line_no").alias("rep_line_no"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
     kept = F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("line_no") == F.col("rep_line_no"))
@@ -164,6 +150,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dropped = line_classes(docs, id_col, text_col, threshold).where("not kept").groupBy(F.col(id_col).alias(own)).agg(F.collect_set("line_no").alias(gone))
     dropped = stored(dropped, "dropped")
     joined = docs.join(dropped, F.col(id_col).eqNullSafe(F.col(own)), "left")
-    lines = F.split(F.col(text_col), "\n")
-    text = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(gone, i)), "\n")
+    # Numbered lines less numbered lines: one hash set, however many are dropped. The one-element array binds the lines.
+    whole = F.array(F.split(F.col(text_col), "\n"))
+    text = F.transform(whole, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(gone)), lambda i: x[i]), "\n"))[0]
     return joined.select(*(F.when(F.col(gone).isNull(), F.col(c)).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns))
