@@ -18,8 +18,6 @@ SHINGLE = 8
 PARTS, MINIMA = 4, 6
 BANDS = ((0, 1, 2, 3), (2, 3, 4, 5), (0, 1, 4, 5))
 THRESHOLD = 0.8
-#: Shingles that one step of the generated code hashes.
-STEP = 16
 #: In buckets, pairs are compared by sets of 32-bit hashes; what comes within so much of the threshold is compared again by 64 bits.
 SLACK = 0.01
 
@@ -46,16 +44,15 @@ def line_keys(lines: DataFrame) -> DataFrame:
     return signatures.select("line_id", F.explode(bands).alias("key"))
 
 
-def shingle_sets(texts: DataFrame, hashed: str = "xxhash64") -> DataFrame:
-    """(line_id, held) of (line_id, line): the distinct hashes of the line's shingles; a shorter line is its own.
+def shingles(line: str, hashed: str = "xxhash64") -> Column:
+    """The hashes of the set of shingles of a line; a shorter line is its own."""
+    units = F.encode(line, "UTF-16BE")
 
-    Runs of ``STEP`` shingles are hashed by generated code and put together, since functions over
-    arrays are not compiled.
-    """
-    units = texts.select("line_id", F.encode("line", "UTF-16BE").alias("units")).withColumn("last", F.expr(f"greatest(octet_length(units) - {2 * SHINGLE - 2}, 1)"))
-    runs = units.select("line_id", "units", "last", F.explode(F.expr(f"sequence(1, last, {2 * STEP})")).alias("at"))
-    hashes = F.array(*(F.expr(f"{hashed}(substring(units, least(at + {2 * k}, last - (last - 1) % 2), {2 * SHINGLE}))") for k in range(STEP)))
-    return runs.groupBy("line_id").agg(F.flatten(F.collect_list(hashes)).alias("held")).select("line_id", F.array_distinct("held").alias("held"))
+    def cut(units: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.octet_length(units) - (2 * SHINGLE - 2), F.lit(1)), F.lit(2))
+        return F.transform(starts, lambda i: F.call_function(hashed, F.substring(units, i, F.lit(2 * SHINGLE))))
+
+    return F.array_distinct(F.flatten(F.transform(F.array(units), cut)))  # the one-element array binds the units
 
 
 def similar(x: Column, y: Column, threshold: float) -> Column:
@@ -66,33 +63,35 @@ def similar(x: Column, y: Column, threshold: float) -> Column:
     return (F.least(F.size(x), F.size(y)) >= threshold * F.greatest(F.size(x), F.size(y)) - 1e-9) & (common >= least * sizes - 1e-9)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of line ids whose sets of shingles have a Jaccard similarity of at least ``threshold``."""
-    sides = [sets.select(F.col("line_id").alias(c), F.col("held").alias(f"held_{c}")) for c in "ab"]
-    return pairs.join(sides[0], "a").join(sides[1], "b").where(similar(F.col("held_a"), F.col("held_b"), threshold)).select("a", "b")
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of line ids whose sets of shingles have a Jaccard similarity of at least ``threshold``.
+
+    Lines travel as text, which is shorter than their sets; each pair makes its two, once, since the
+    verdict is written before it is filtered by.
+    """
+    sides = [texts.select(F.col("line_id").alias(c), F.col("line").alias(f"line_{c}")) for c in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", shingles("line_a").alias("x"), shingles("line_b").alias("y"))
+    return stored(both.select("a", "b", similar(F.col("x"), F.col("y"), threshold).alias("linked")), "verdicts").where("linked").select("a", "b")
 
 
 def line_components(lines: DataFrame, threshold: float) -> DataFrame:
     """(line_id, root) of every distinct line that is similar to another.
 
-    Lines that share a band are compared with one line of their bucket, chosen by hash; what is
-    similar merges. Where a bucket still has several components, every pair of different components
+    Lines that share a band are compared with the first line of their bucket; what is similar merges. Where a bucket still has several components, every pair of different components
     there is compared inside the join, in the least bucket that the two share; only similar ones leave
     it, so that a large group of near copies is never listed pair by pair and no link is lost.
     """
     keys = stored(line_keys(lines), "keys")
-    buckets = keys.groupBy("key").agg(F.min("line_id").alias("low"), F.max("line_id").alias("high")).where("low != high").select("key")
+    # A line has each of its keys once.
+    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     members = stored(keys.join(within(stored(buckets, "buckets")), "key"), "members")
     discard(keys)
     needed = stored(members.select("line_id").distinct(), "needed")
     texts = stored(lines.select("line_id", "line").join(within(needed), "line_id").groupBy("line_id").agg(F.first("line").alias("line")), "texts")
-    sets = stored(shingle_sets(texts), "sets")
 
-    # Another line stands first in each bucket of a group: its members meet as many lines as they share bands.
-    firsts = members.groupBy("key").agg(F.min_by("line_id", F.xxhash64("key", "line_id")).alias("first"))
-    members = stored(met(members, stored(firsts, "firsts"), "key", "line_id"), "members")
-    pairs = members.where("line_id != first").select(F.least("first", "line_id").alias("a"), F.greatest("first", "line_id").alias("b")).distinct()
-    edges = stored(verified(pairs, sets, threshold), "edges")
+    firsts = stored(members.groupBy("key").agg(F.min("line_id").alias("first")), "firsts")
+    pairs = met(members, firsts, "key", "line_id").where("line_id != first").select(F.col("first").alias("a"), F.col("line_id").alias("b")).distinct()
+    edges = verified(pairs, texts, threshold)
     roots = connected_components(edges)
 
     large = met(members, roots.withColumnRenamed("node", "line_id"), "line_id", "key").withColumn("root", F.coalesce("root", "line_id"))
@@ -103,8 +102,7 @@ def line_components(lines: DataFrame, threshold: float) -> DataFrame:
         return roots.withColumnRenamed("node", "line_id")
     # A line has at most as many keys as there are bands.
     shared = opened.groupBy("line_id").agg(F.collect_list("key").alias("keys"))
-    short = shingle_sets(texts.join(within(shared.select("line_id")), "line_id", "left_semi"), "hash")
-    both = stored(shared.join(short, "line_id"), "open-sets")
+    both = stored(shared.join(texts, "line_id").select("line_id", "keys", shingles("line", "hash").alias("held")), "open-sets")
     rows = opened.join(both, "line_id").select("key", "main", F.struct("line_id", "root", "keys", "held").alias("x"))
     x, y = rows.where("x.root != main"), rows.select("key", F.col("main").alias("main_y"), F.col("x").alias("y"))
     once = (F.col("x.line_id") < F.col("y.line_id")) | (F.col("y.root") == F.col("main_y"))
@@ -112,7 +110,7 @@ def line_components(lines: DataFrame, threshold: float) -> DataFrame:
     near = similar(F.col("x.held"), F.col("y.held"), threshold - SLACK)
     found = x.join(y, (x["key"] == y["key"]) & (F.col("x.root") != F.col("y.root")) & once & here & near)
     found = found.select(F.least("x.line_id", "y.line_id").alias("a"), F.greatest("x.line_id", "y.line_id").alias("b"))
-    more = stored(verified(stored(found, "found"), sets, threshold), "more")
+    more = verified(stored(found, "found"), texts, threshold)
     if more.limit(1).count():
         roots = connected_components(edges.unionAll(more))
     return roots.withColumnRenamed("node", "line_id")
