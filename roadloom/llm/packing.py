@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +17,8 @@ from pyspark.sql.types import LongType
 
 from roadloom.llm.cluster import stored
 
-#: Words whose ids a worker holds: two generations of half as many each.
-CACHE_WORDS = 800_000
+#: Words whose ids a worker holds: two generations of half as many each, some 120 MB; longer words aren't held.
+CACHE_WORDS, CACHE_LETTERS = 600_000, 64
 #: About so many pieces are packed together; a bucket wastes at most its last windows.
 BUCKET_PIECES = 20_000
 
@@ -26,6 +28,19 @@ _SHAPE = re.compile(rb"((?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+)([.,!?;:|]+)?")
 _BYTE_SIGN = {0xA0: chr(322), 0xAD: chr(323)}
 
 
+#: What a tokenizer file must say for words to be encoded one by one: white space parts words, letters count in lower case.
+_BY_WORDS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+
+
 class WordIds(dict):
     """Word -> its ids as little-endian 32-bit numbers; words not used for a generation are forgotten."""
 
@@ -35,29 +50,43 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = self.tokenizer.model
+        rules = json.loads(Path(path).read_text())
+        self.by_words = (rules["normalizer"], rules["pre_tokenizer"]) == _BY_WORDS and rules["model"]["type"] == "BPE"
         self.older: dict[bytes, bytes] = {}
 
+    def encoded(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     def __missing__(self, word: bytes) -> bytes:
         found = self.older.get(word)
         if found is None:
             shape = _SHAPE.fullmatch(word)
             if shape is None:
-                found = array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+                found = self.encoded(word.decode())
             elif shape[2]:
                 found = self[shape[1]] + self[shape[2]]
             else:  # letters alone pass all rules before the merges unchanged
                 text = word.decode() if word.isascii() else word.decode("latin-1").translate(_BYTE_SIGN)
                 found = array("I", [t.id for t in self.merges.tokenize(text)]).tobytes()
-        if len(self) >= CACHE_WORDS // 2:
-            self.older = dict(self)
-            self.clear()
-        self[word] = found
+        if len(word) <= CACHE_LETTERS:
+            if len(self) >= CACHE_WORDS // 2:
+                self.older = dict(self)
+                self.clear()
+            self[word] = found
         return found
 
     def encode(self, text: str | None, end: bytes) -> bytes:
-        """Ids of a whole text: those of its words, since ASCII white space always parts words, and letters A-Z have the ids of a-z."""
+        """Ids of a whole text and ``end``.
+
+        By the rules of the known tokenizer these are the ids of the words between ASCII white space,
+        and letters A-Z have the ids of a-z: but a letter before a combining mark of U+0300 to U+037F
+        may compose in lower case only, so that a text with such a mark is encoded as it is written,
+        as is one with the spelling of a special token. Any other tokenizer encodes whole texts.
+        """
+        if not self.by_words:
+            return self.encoded(text or "") + end
         data = (text or "").encode()
-        if b"<|" not in data:  # the spelling of special tokens counts
+        if b"<|" not in data and b"\xcc" not in data and b"\xcd" not in data:
             data = data.lower()
         return b"".join(map(self.__getitem__, data.split())) + end
 
