@@ -119,7 +119,7 @@ class Matcher:
         return out
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _matcher(items: tuple[tuple[int, str], ...], rate: float) -> Matcher:
     return Matcher(list(items), rate)
 
