@@ -12,11 +12,10 @@ from roadloom.llm.components import connected_components
 
 #: Characters of a shingle, as UTF-16 counts them: one beyond the basic plane is two.
 SHINGLE = 8
-#: A line's shingles fall to ``PARTS`` by their hash, so that each meets the ``MINIMA`` of its part only; every part has
-#: a band for each of ``BANDS``, four minima each. Two lines at similarity 0.8 share a band with probability 0.99, at
-#: 0.85 with 0.998, at 0.5 with 0.49.
-PARTS, MINIMA = 4, 6
-BANDS = ((0, 1, 2, 3), (2, 3, 4, 5), (0, 1, 4, 5))
+#: A line's shingles fall to ``PARTS`` by their hash, so that each meets the minima of its part only; every part has
+#: ``BANDS`` bands of ``ROWS`` minima. Two lines at similarity 0.8 share a band with probability 0.985, at 0.85 with
+#: 0.997, at 0.5 with 0.4.
+PARTS, BANDS, ROWS = 4, 2, 4
 THRESHOLD = 0.8
 #: In buckets, pairs are compared by sets of 32-bit hashes; what comes within so much of the threshold is compared again by 64 bits.
 SLACK = 0.01
@@ -29,7 +28,7 @@ def explode_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def line_keys(lines: DataFrame) -> DataFrame:
-    """(line_id, key): one key for each band of each distinct line.
+    """(line_id, keys): one key for each band of each distinct line, a row for each part.
 
     Two bytes a character let a shingle be cut anywhere without a search from the start of the line.
     Minima are aggregated before the shuffle. A line without a shingle in a part has no band there.
@@ -38,10 +37,10 @@ def line_keys(lines: DataFrame) -> DataFrame:
     found = found.select("line_id", "units", F.explode(F.expr(f"sequence(1, greatest(octet_length(units) - {2 * SHINGLE - 2}, 1), 2)")).alias("at"))
     found = found.select("line_id", F.expr(f"hash(substring(units, at, {2 * SHINGLE}))").alias("h"))
     rng = random.Random(20240305)
-    minima = [F.min(F.col("h").bitwiseXOR(F.lit(rng.getrandbits(32) - (1 << 31)))).alias(f"m{i}") for i in range(MINIMA)]
+    minima = [F.min(F.col("h").bitwiseXOR(F.lit(rng.getrandbits(32) - (1 << 31)))).alias(f"m{i}") for i in range(BANDS * ROWS)]
     signatures = found.groupBy("line_id", F.expr(f"cast(h & {PARTS - 1} as tinyint)").alias("part")).agg(*minima)
-    bands = F.array(*(F.xxhash64("part", F.lit(i), *(f"m{j}" for j in band)) for i, band in enumerate(BANDS)))
-    return signatures.select("line_id", F.explode(bands).alias("key"))
+    bands = F.array(*(F.xxhash64("part", F.lit(i), *(f"m{j}" for j in range(i * ROWS, (i + 1) * ROWS))) for i in range(BANDS)))
+    return signatures.select("line_id", bands.alias("keys"))
 
 
 def shingles(line: str, hashed: str = "xxhash64") -> Column:
@@ -81,20 +80,23 @@ def line_components(lines: DataFrame, threshold: float) -> DataFrame:
     there is compared inside the join, in the least bucket that the two share; only similar ones leave
     it, so that a large group of near copies is never listed pair by pair and no link is lost.
     """
-    keys = stored(line_keys(lines), "keys")
+    signatures = stored(line_keys(lines), "keys")
+    keys = signatures.select("line_id", F.explode("keys").alias("key"))
     # A line has each of its keys once.
     buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     members = stored(keys.join(within(stored(buckets, "buckets")), "key"), "members")
-    discard(keys)
+    discard(signatures)
     needed = stored(members.select("line_id").distinct(), "needed")
     texts = stored(lines.select("line_id", "line").join(within(needed), "line_id").groupBy("line_id").agg(F.first("line").alias("line")), "texts")
 
     firsts = stored(members.groupBy("key").agg(F.min("line_id").alias("first")), "firsts")
-    pairs = met(members, firsts, "key", "line_id").where("line_id != first").select(F.col("first").alias("a"), F.col("line_id").alias("b")).distinct()
+    others = met(members, firsts, "key", "line_id").where("line_id != first")
+    pairs = others.select(F.col("first").alias("a"), F.col("line_id").alias("b")).distinct()
     edges = verified(pairs, texts, threshold)
     roots = connected_components(edges)
 
-    large = met(members, roots.withColumnRenamed("node", "line_id"), "line_id", "key").withColumn("root", F.coalesce("root", "line_id"))
+    # The first line of each bucket has met all others.
+    large = met(others.select("key", "line_id"), roots.withColumnRenamed("node", "line_id"), "line_id", "key").withColumn("root", F.coalesce("root", "line_id"))
     counted = large.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     split = counted.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "main")
     opened = stored(met(large, stored(split, "split"), "key", "line_id").where("main is not null").select("key", "line_id", "root", "main"), "opened")
