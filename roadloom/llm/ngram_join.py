@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.llm import textscan as ts
-from roadloom.llm.cluster import stored
+from roadloom.llm.cluster import stored, within
 from roadloom.llm.components import connected_components
 
 #: A block of a candidate component has at most about so many documents and n-grams.
@@ -70,7 +70,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 hashes += out
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["id", "node", "bands"])
 
-    return docs.mapInArrow(scan, "id bigint, node bigint, bands array<bigint>")
+    return docs.mapInArrow(scan, f"id {docs.schema['id'].dataType.simpleString()}, node bigint, bands array<bigint>")
 
 
 def gram_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -184,7 +184,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     their sets of word n-grams is at least ``threshold``. class_id is the smallest id of the texts
     linked directly or through others; n_links counts the other rows linked directly. Texts of the
     same words are always linked; so are texts without words (null, empty, marks only). Rows with the
-    same id and words are further copies. Rows with a null id are returned with a null class and 0
+    same id and words are further copies. Ids are of any type that can be ordered. Rows with a null id are returned with a null class and 0
     links. Other columns of ``docs`` are not read; an empty table gives no rows.
 
     Copies of one word sequence are one text from the first step on. Texts that share a band of
@@ -194,7 +194,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     forest and sums leave a task, so that no hot group is ever listed pair by pair.
     """
     bands = bands_for(threshold, recall, rows)
-    source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = source.schema["id"].dataType
     marked = stored(signatures(source.where("id is not null"), n, bands, rows), "signatures")
     texts = stored(marked.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "texts")
 
@@ -204,7 +205,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = connected_components(keys.join(buckets, "key").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")))
 
     members = parts.select("node", F.col("root").alias("part")).join(texts, "node")
-    wanted = source.join(members, "id").select("id", "text", "node", "copies", "part")
+    # Few texts are candidates: their short rows go to the texts, which stay where they are.
+    wanted = source.join(within(stored(members, "members")), "id").select("id", "text", "node", "copies", "part")
     sets = stored(gram_sets(wanted, n), "grams")
 
     # A part is dealt to blocks by volume; every two blocks meet once, and so do the two sides of any link.
@@ -227,5 +229,5 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     info = named.where("links > 0 or copies > 1").join(least, "root", "left")
     info = info.select("node", F.coalesce("class_id", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = marked.select("id", "node").join(info, "node", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    nulls = source.where("id is null").select("id", F.lit(None).cast("bigint").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
+    nulls = source.where("id is null").select("id", F.lit(None).cast(kind).alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
     return out.unionAll(nulls).withColumnRenamed("id", id_col)

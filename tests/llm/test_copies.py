@@ -193,3 +193,8 @@ def test_recall_on_small_sets(spark, grams):
 
 def test_columns_stay(docs):
     assert ld.dedup_lines(docs.withColumn("dropped_lines", F.lit(1))).columns == [*docs.columns, "dropped_lines"]
+
+
+def test_ngram_join_of_text_ids(spark):
+    rows = spark.createDataFrame([("b", "one two three four five six"), ("a", "One two three four five six!"), ("c", None)], "doc_id string, text string")
+    assert sorted(map(tuple, nj.ngram_jaccard_join(rows).collect())) == [("a", "a", 1), ("b", "a", 1), ("c", "c", 0)]
