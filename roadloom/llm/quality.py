@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from roadloom.llm import textscan as ts
+from roadloom.llm.cluster import fresh
 
 BUCKET_BITS = 17
 BUCKETS = 1 << BUCKET_BITS
@@ -90,7 +91,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 6, rate: float = 0.
             back = output @ p
             output -= step * np.outer(hidden, p)
             bias -= 0.1 * step * p
-            # The mean divides each feature's gradient by the document's length; undo half of it, so that long documents teach too.
+            # Not the loss's plain gradient: the mean divides each feature's step by the document's length, of which half is undone, so that long documents teach too.
             vectors[buckets] = held - step * (np.sqrt(share) * np.float32(8))[:, None] * back[None, :]
     return QualityModel((vectors @ (output[:, 1] - output[:, 0])).astype(np.float64), float(bias[1] - bias[0]))
 
@@ -103,13 +104,16 @@ def held_out(id_col: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = MAX_TRAIN_DOCS, max_chars: int = MAX_TRAIN_CHARS) -> QualityModel:
     """Fit on at most ``max_docs`` labelled documents of at most ``max_chars`` characters outside the held-out fold: of the labelled rows with the smallest hash of their id.
 
-    Without a labelled row the model scores 0.5 everywhere. Rows with a null id, text or label are not learned from.
+    Of rows that repeat a drawn id, the least text is learned from; of labels that contradict each
+    other, the greater. Without a labelled row the model scores 0.5 everywhere. Rows with a null id,
+    text or label are not learned from.
     """
     labelled = labels.where(F.col(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label"))
     # The sample is drawn from the labels alone and broadcast (at most ``max_docs`` short rows): texts are never shuffled.
     drawn = labelled.orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(max_docs)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text").between(1, max_chars))
-    rows = sorted(texts.join(F.broadcast(drawn), "_id").select("_id", "_text", "_label").limit(2 * max_docs).collect())
+    # One row for each drawn id: at most ``max_docs`` rows of at most ``max_chars`` characters.
+    rows = sorted(texts.join(F.broadcast(drawn), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.first("_label").alias("_label")).collect())
     if not rows:
         return QualityModel(np.zeros(BUCKETS), 0.0)
     return train([r["_text"] for r in rows], [int(r["_label"]) for r in rows])
@@ -119,21 +123,25 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """``docs`` with held_out, score and predicted (1 if score >= ``accept``), or other ``names``, appended.
 
     Whole texts are scored in Arrow batches; a null or empty text gets the score of the bias alone.
-    Only the text is an input of a score. Columns of ``docs`` with the appended names are replaced.
+    Only the text is an input of a score. Rows repeated are scored each; a row with a null id is not
+    held out. Columns of ``docs`` with the appended names, in any case, are replaced; the text may be
+    one of them. An empty table gives no rows.
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model or fit(docs, labels, id_col, text_col))
     fold, score, predicted = names
-    docs = docs.select(*(c for c in docs.columns if c not in names), held_out(id_col).alias(fold))
-    at = docs.columns.index(text_col)
+    taken = {n.lower() for n in names}
+    text = fresh(docs, "scored_text")
+    docs = docs.select(*(c for c in docs.columns if c.lower() not in taken), held_out(id_col).alias(fold), F.col(text_col).alias(text))
+    kept = len(docs.columns) - 1
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for batch in batches:
-            data, offsets = ts.text_buffers(batch.column(at))
+            data, offsets = ts.text_buffers(batch.column(kept))
             parts = [model.score(d, o) for _, _, d, o in ts.chunks(data, offsets)]
             scores = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, score])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(scores)], [*batch.schema.names[:kept], score])
 
-    out = StructType([*docs.schema.fields, StructField(score, DoubleType())])
+    out = StructType([*docs.schema.fields[:kept], StructField(score, DoubleType())])
     return docs.mapInArrow(scored, out).withColumn(predicted, (F.col(score) >= accept).cast("int"))

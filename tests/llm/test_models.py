@@ -226,3 +226,16 @@ def test_stages_decide_by_row(spark, tmp_path):
     assert left(cp.drop_contaminated, [*clean, (None, text[2] + " " + item), (1, item)]) == sorted(clean, key=str)
     kept = [(1, text[0]), (5, text[1]), (None, text[0]), (None, text[2])]
     assert left(cp.drop_near_duplicates, [*kept, (5, text[0])]) == sorted(kept, key=str)
+
+
+def test_quality_of_clashing_names_and_text_ids(spark):
+    labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(40)], "doc_id string, quality int")
+    texts = [("plain words in a row " if i % 2 else "@@ ## !! ") * 5 for i in range(40)]
+    rows = spark.createDataFrame([(f"d{i}", t, 0.5, "x") for i, t in enumerate(texts)] + [(None, None, 0.5, "x"), ("d1", texts[1], 0.5, "x")], "doc_id string, score string, Score_ double, HELD_OUT string")
+    from roadloom.llm import quality
+
+    got = quality.quality_scores(rows, labels, text_col="score")
+    assert got.columns == ["doc_id", "Score_", "held_out", "score", "predicted"]
+    found = got.collect()
+    assert len(found) == 42 and all(0 <= r.score <= 1 for r in found)
+    assert [r.held_out for r in found if r.doc_id is None] == [False]
