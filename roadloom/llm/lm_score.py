@@ -13,21 +13,20 @@ from pyspark.sql import functions as F
 from roadloom.llm import textscan as ts
 from roadloom.llm.cluster import stored
 
-ROUNDS = 3
 SLICES = 64
-#: Slots of weights are the power of two from the distinct context features of the training rows divided by this.
-FEATURES_PER_SLOT = 4
-#: The least slots, so that small corpora have few collisions.
-LEAST_BITS = 16
-#: Feature hashes that a sketch of their distinct number keeps.
-SKETCH = 2048
+#: Slots of weights are the next power of two from the training tokens divided by this, within these bounds:
+#: the least so that small corpora have few collisions, the most (256 MB) what every executor can hold.
+TOKENS_PER_SLOT = 32
+LEAST_BITS, MOST_BITS = 20, 26
+#: Decisions of a path that all features have a say in; in those below only the word before has.
+SHALLOW = 4
 #: Tokens whose decisions are computed at once.
-STEP = 1 << 12
+STEP = 1 << 11
 #: Words whose counts are broadcast (8 + 8 bytes each); the others' meet their counts in a shuffle.
 TOP_WORDS = 1 << 17
 END = np.uint64(0x656E642D6F662D74)
-#: A weight's step is its gradient by RATE x decisions + DAMP.
-RATE, DAMP = 0.6, 30
+#: In each update a weight's step is its gradient by a rate x its decisions + DAMP.
+RATES, DAMP = (0.6, 0.6), 30
 #: Distinct words that a task holds before it sends partial counts.
 HELD_WORDS = 400_000
 
@@ -77,36 +76,24 @@ def word_counts(column: DataFrame) -> DataFrame:
 
 
 def contexts(tokens: np.ndarray, docs: np.ndarray) -> list[np.ndarray]:
-    """Hashed features of each token: the word before, the two before as a pair, and the second and third before, each skipping those between."""
+    """Hashed features of each token: the word before, the two before as a pair, and the second before, skipping the one between."""
     before = []
-    for k in (1, 2, 3):
+    for k in (1, 2):
         word = np.full(len(tokens), 0x5F, np.uint64)
         word[k:] = np.where(docs[k:] == docs[:-k], tokens[:-k], np.uint64(0x5F))
         before.append(word)
-    one, two, three = before
+    one, two = before
     pair = one * np.uint64(0x100000001B3) + two
-    return [ts.mix(x + np.uint64(salt * 0x9E3779B1)) for salt, x in ((1, one), (2, pair), (3, two), (5, three))]
+    return [halves(ts.mix(x + np.uint64(salt * 0x9E3779B1))) for salt, x in ((1, one), (2, pair), (3, two))]
 
 
-def least_hashes(hashes: np.ndarray) -> np.ndarray:
-    return np.unique(hashes)[:SKETCH]
+def halves(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(32)).astype(np.uint32)
 
 
-def distinct_features(train: DataFrame) -> int:
-    """Distinct context features of a table of one text column, from their ``SKETCH`` least hashes (exact below that many)."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(0, np.uint64)
-        for batch in batches:
-            for tokens, at, _ in token_chunks(batch.column(0)):
-                for f in contexts(tokens, at):
-                    held = least_hashes(np.r_[held, f[f <= held[-1]] if len(held) == SKETCH else f])
-        yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary())], ["held"])
-
-    held = np.zeros(0, np.uint64)
-    for row in train.mapInArrow(scan, "held binary").toLocalIterator():
-        held = least_hashes(np.r_[held, np.frombuffer(row["held"], np.uint64)])
-    return len(held) if len(held) < SKETCH else int((SKETCH - 1) / (float(held[-1]) / 2.0**64))
+def slots_for(tokens: int) -> int:
+    """Bits of the number of weights."""
+    return min(MOST_BITS, max(LEAST_BITS, (tokens // TOKENS_PER_SLOT).bit_length()))
 
 
 @dataclass
@@ -121,7 +108,7 @@ class Model:
     counts: np.ndarray
     offsets: np.ndarray
     nodes: np.ndarray
-    bits: np.ndarray
+    signs: np.ndarray  # -1 where the way goes to the upper half, else 1
     priors: np.ndarray  # log odds of the counts below a node
     hash_bits: int
     weights: np.ndarray
@@ -133,37 +120,36 @@ class Model:
         at = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
         return np.where(self.words[at] == tokens, at, len(self.words))
 
-    def decisions(self, tokens: np.ndarray, place: np.ndarray, features: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
-        """(token, bit, log odds, [(first decision, slots of the decisions from there)]) of every decision of the tokens."""
-        first, n = self.offsets[place], self.offsets[place + 1] - self.offsets[place]
-        token = np.repeat(np.arange(len(tokens)), n)
-        at = np.repeat(first - (np.cumsum(n) - n), n)
-        at += np.arange(len(at))
-        node, bit, logits = self.nodes[at], self.bits[at], self.priors[at]
-        known = len(token)
-        if self.hash_bits:
-            others = np.flatnonzero(place == len(self.words))
+    def slots(self, hashes: np.ndarray) -> np.ndarray:
+        # Features and nodes are both mixed, so that the first bits of their sum are as good as a hash of the pair.
+        hashes >>= np.uint32(33 - len(self.weights).bit_length())
+        return hashes.astype(np.intp)
+
+    def decisions(self, tokens: np.ndarray, place: np.ndarray, features: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """(token, sign, log odds, slots of each feature) of the decisions of the tokens: first ones, deeper ones, and those among the other words."""
+        first, all_of = self.offsets[place], self.offsets[place + 1] - self.offsets[place]
+        top = np.minimum(all_of, SHALLOW)
+        for start, n, used in ((first, top, features), (first + top, all_of - top, features[:1])):
+            token = np.repeat(np.arange(len(tokens), dtype=np.int32), n)
+            at = np.repeat(start - (np.cumsum(n) - n), n)
+            at += np.arange(len(at))
+            node = self.nodes.take(at)
+            yield self.weighed(token, self.signs.take(at), self.priors.take(at), [np.repeat(f, n) + node for f in used])
+        others = np.flatnonzero(place == len(self.words)) if self.hash_bits else ()
+        if len(others):
             level = np.tile(np.arange(self.hash_bits, dtype=np.uint64), len(others))
             leaf = np.repeat(tokens[others] >> np.uint64(64 - self.hash_bits), self.hash_bits)
-            deep = (np.uint64(1) << level) + (leaf >> (np.uint64(self.hash_bits) - level))
-            token = np.r_[token, np.repeat(others, self.hash_bits)]
-            node = np.r_[node, ts.mix(deep + np.uint64(1 << 62))]
-            bit = np.r_[bit, ((leaf >> (np.uint64(self.hash_bits - 1) - level)) & np.uint64(1)).astype(np.float32)]
-            logits = np.r_[logits, np.zeros(len(deep), np.float32)]
-        shift = np.uint64(64 - (len(self.weights).bit_length() - 1))
-        slots = []
-        for f in features:  # both are mixed, so that the first bits of their sum are as good as a hash of the pair
-            s = np.repeat(f, n)
-            if known < len(token):
-                s = np.r_[s, np.repeat(f[others], self.hash_bits)]
-            s += node
-            s >>= shift
-            slots.append((0, s.view(np.int64)))
-        if known < len(token):  # without counts of what is below them, these learn their odds
-            slots.append((known, (node[known:] >> shift).view(np.int64)))
-        for start, s in slots:
-            logits[start:] += self.weights[s]
-        return token, bit, logits, slots
+            node = halves(ts.mix((np.uint64(1) << level) + (leaf >> (np.uint64(self.hash_bits) - level)) + np.uint64(1 << 62)))
+            upper = ((leaf >> (np.uint64(self.hash_bits - 1) - level)) & np.uint64(1)).astype(np.float32)
+            # Without counts of what is below them, these learn their odds.
+            hashes = [np.repeat(features[0][others], self.hash_bits) + node, node]
+            yield self.weighed(np.repeat(others, self.hash_bits), 1 - 2 * upper, np.zeros(len(node), np.float32), hashes)
+
+    def weighed(self, token, sign, logits, hashes):
+        slots = [self.slots(h) for h in hashes]
+        for s in slots:
+            logits += self.weights.take(s)
+        return token, sign, logits, slots
 
     def steps(self, tokens: np.ndarray, docs: np.ndarray) -> Iterator[tuple]:
         """(first token, end token, decisions) of runs of tokens."""
@@ -175,8 +161,10 @@ class Model:
     def scores(self, tokens: np.ndarray, docs: np.ndarray) -> np.ndarray:
         """log10 probability of each token's leaf."""
         out = np.zeros(len(tokens))
-        for s, e, (token, bit, logits, _) in self.steps(tokens, docs):
-            out[s:e] = np.bincount(token, weights=np.logaddexp(0, np.where(bit > 0, -logits, logits)), minlength=e - s)
+        for s, e, parts in self.steps(tokens, docs):
+            for token, sign, logits, _ in parts:
+                x = sign * logits  # minus the log probability is log(1 + exp(x))
+                out[s:e] += np.bincount(token, weights=np.maximum(x, 0) + np.log1p(np.exp(-np.abs(x))), minlength=e - s)
         return out / -np.log(10)
 
 
@@ -207,7 +195,7 @@ def tree(counts: np.ndarray, others: float) -> tuple[np.ndarray, np.ndarray, np.
     words, depths, nodes, bits, priors = (np.concatenate(x) for x in (words, depths, nodes, bits, priors))
     sort = np.lexsort((depths, words))
     offsets = np.r_[0, np.cumsum(np.bincount(words, minlength=len(mass)))]
-    return offsets, ts.mix(nodes[sort]), bits[sort].astype(np.float32), priors[sort].astype(np.float32)
+    return offsets, halves(ts.mix(nodes[sort])), (1 - 2 * bits[sort]).astype(np.float32), priors[sort].astype(np.float32)
 
 
 def gradient(docs: DataFrame, model, count: bool) -> DataFrame:
@@ -218,12 +206,13 @@ def gradient(docs: DataFrame, model, count: bool) -> DataFrame:
         sums = np.zeros((1 + count, len(m.weights)))
         for batch in batches:
             for tokens, at, _ in token_chunks(batch.column(0)):
-                for _, _, (_, bit, logits, slots) in m.steps(tokens, at):
-                    error = (1 / (1 + np.exp(-logits)) - bit).astype(np.float64)
-                    for start, s in slots:
-                        np.add.at(sums[0], s, error[start:])
-                        if count:
-                            np.add.at(sums[1], s, 1.0)
+                for _, _, parts in m.steps(tokens, at):
+                    for _, sign, logits, slots in parts:
+                        error = sign / (1 + np.exp(-sign * logits)).astype(np.float64)
+                        for x in slots:
+                            np.add.at(sums[0], x, error)
+                            if count:
+                                np.add.at(sums[1], x, 1.0)
         for i, part in enumerate(np.split(sums, SLICES, axis=1)):
             if part.any():
                 part = (part.astype(np.float32).view(np.uint32) + np.uint32(0x8000)) >> np.uint32(16)  # the first 16 bits: 8 of exponent, 7 of fraction
@@ -245,8 +234,8 @@ def gradient(docs: DataFrame, model, count: bool) -> DataFrame:
 def fit(train: DataFrame, counts: DataFrame) -> tuple[Model, int, int, int]:
     """The model, and tokens and distinct tokens of ``train`` (one text column), and the least count of a broadcast word.
 
-    Each of ``ROUNDS`` updates reads every training row. Leaves grow with the vocabulary, slots with
-    the distinct features.
+    Each of the updates reads every training row. Leaves grow with the vocabulary, slots with
+    the tokens.
     """
     spark = train.sparkSession
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
@@ -262,11 +251,11 @@ def fit(train: DataFrame, counts: DataFrame) -> tuple[Model, int, int, int]:
     order = np.argsort(words)
     words, n = words[order], n[order]
     others = int(total["v"]) - len(words)
-    bits = max(LEAST_BITS, (distinct_features(train) // FEATURES_PER_SLOT).bit_length()) if total["n"] else LEAST_BITS
+    bits = slots_for(int(total["n"]))
     model = Model(words, n, *tree(n, int(total["n"]) - n.sum() + others + 1), others.bit_length() if others else 0, np.zeros(1 << bits, np.float32))
     seen = np.zeros(1 << bits, np.float32)
     k = (1 << bits) // SLICES
-    for r in range(ROUNDS if total["n"] else 0):
+    for r, rate in enumerate(RATES if total["n"] else ()):
         held = spark.sparkContext.broadcast(model)
         for row in gradient(train, held, r == 0).toLocalIterator():  # a slice at a time, for the driver's memory
             at = slice(row["slice"] * k, (row["slice"] + 1) * k)
@@ -274,7 +263,7 @@ def fit(train: DataFrame, counts: DataFrame) -> tuple[Model, int, int, int]:
             if r == 0:
                 seen[at] = sums[1]
             # Each weight's step is its summed gradient, scaled by the number of its decisions.
-            model.weights[at] -= np.clip(sums[0] / (RATE * seen[at] + DAMP), -2, 2)
+            model.weights[at] -= np.clip(sums[0] / (rate * seen[at] + DAMP), -2, 2)
         held.destroy()
     return model, int(total["n"]), int(total["v"]), least
 

@@ -54,7 +54,8 @@ def test_lm_learns_which_word_of_many_follows(spark, monkeypatch):
         assert sum(r.score for r in got) > 0.4 * sum(r.base_score for r in got)
 
 
-def test_lm_grows_with_the_corpus(spark):
+def test_lm_grows_with_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "LEAST_BITS", 6)
     rng = random.Random(5)
     small = [(" ".join(f"w{rng.randrange(2000)}" for _ in range(100)),) for _ in range(50)]
     large = [(" ".join(f"w{rng.randrange(200_000)}" for _ in range(1000)),) for _ in range(500)]
@@ -74,9 +75,11 @@ def test_lm_probabilities_sum_to_one():
     model = lm_score.Model(tokens, np.ones(200), *lm_score.tree(rng.integers(1, 500, 200).astype(float), 40.0), 3, rng.normal(0, 1, 1 << 12).astype(np.float32))
     leaves = np.arange(8, dtype=np.uint64) << np.uint64(61)  # one unbroadcast word for each leaf of the others
     every = np.r_[tokens, leaves + np.uint64(1)]
-    first = [np.tile(f, len(every)) for f in np.array([[5], [6], [7], [8]], np.uint64)]
-    token, bit, logits, _ = model.decisions(every, model.find(every), first)
-    p = np.exp(-np.bincount(token, weights=np.logaddexp(0, np.where(bit > 0, -logits, logits)), minlength=len(every)))
+    same = [np.tile(f, len(every)) for f in np.array([[5], [1 << 31], [7]], np.uint32)]
+    cost = np.zeros(len(every))
+    for token, sign, logits, _ in model.decisions(every, model.find(every), same):
+        cost += np.bincount(token, weights=np.logaddexp(0, sign * logits), minlength=len(every))
+    p = np.exp(-cost)
     assert abs(p.sum() - 1) < 1e-4
 
 
