@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,7 +20,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "network")
 
-#: Runs that the network judges: at least 16 characters of key alphabets.
+#: Runs that the network judges: at least ``LEAST`` characters of key alphabets.
+LEAST = 16
+#: Views that a task holds before it scores them.
+HELD_WINDOWS = 20_000
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 
 BEFORE, BODY, AFTER = 24, 48, 8
@@ -125,7 +129,7 @@ def labelled_findings(n: int, seed: int) -> tuple[list[bytes], np.ndarray]:
         if secret:
             body = (pick(mixed, int(rng.integers(16, 48))), pick(mixed + "+/", 40) + "=", pick("abcdef" + digits, 32), word()[:3] + "_" + pick(mixed, 36), pick(lower.upper() + digits, 24), pick(mixed + "-_", int(rng.integers(20, 64))), pick(lower + lower.upper(), int(rng.integers(16, 48))), pick(mixed, int(rng.integers(16, 20))))[kind]
         else:
-            body = ("-".join(word() for _ in range(5)) + "-" + pick(digits, 2), "_".join(word() for _ in range(4)) + pick(digits, 1), pick("2", 1) + "0" + pick(digits, 2) + "-0" + pick("123456789", 1) + "-" + pick("12", 1) + pick(digits, 1) + "-" + word() + "-" + word(), pick(digits, int(rng.integers(16, 20))), "/".join(word() for _ in range(5)) + "/" + pick(digits, 1), "=" * int(rng.integers(12, 30)) + pick(digits, 4), ("-", "_", "/")[int(rng.integers(0, 3))].join(named(int(rng.integers(0, 3))) for _ in range(6)), named(3) if rng.random() < 0.8 else pick("=-_/+", 1) * int(rng.integers(16, 60)))[kind]
+            body = ("-".join(word() for _ in range(5)) + "-" + pick(digits, 2), "_".join(word() for _ in range(4)) + pick(digits, 1), pick("2", 1) + "0" + pick(digits, 2) + "-0" + pick("123456789", 1) + "-" + pick("12", 1) + pick(digits, 1) + "-" + word() + "-" + word(), pick(digits, int(rng.integers(16, 20))), "/".join(word() for _ in range(5)) + "/" + pick(digits, 1), "=" * int(rng.integers(12, 30)) + pick(digits, 4), ("-", "_", "/")[int(rng.integers(0, 3))].join(named(int(rng.integers(0, 3))) for _ in range(6)), named(3) if rng.random() < 0.8 else pick("=-_/+" + mixed if rng.random() < 0.5 else "=-_/+", 1) * int(rng.integers(16, 60)))[kind]
             while len(body) < 16:
                 body += word()
 
@@ -189,12 +193,35 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def free_parts(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """(start, end) of the candidates, without what base spans cover; both go from left to right once."""
+    taken: list[list[int]] = []
+    for s, _, e in base:
+        if taken and s <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
+    first = 0
+    for m in CANDIDATE.finditer(text):
+        at = m.start()
+        while first < len(taken) and taken[first][1] <= at:
+            first += 1
+        for s, e in itertools.takewhile(lambda span, end=m.end(): span[0] < end, itertools.islice(taken, first, None)):
+            if s - at >= LEAST:
+                yield at, s
+            at = max(at, e)
+        if m.end() - at >= LEAST:
+            yield at, m.end()
+
+
 def secret_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", network: Network | None = None) -> DataFrame:
     """One row per row of ``df``: id, base and network spans.
 
-    ``base`` and ``found`` are arrays of (kind, start, end, score), in code points, end exclusive;
-    ``found`` has the spans of the network over every candidate that no base span overlaps. A null
-    or empty text has none; repeated rows give repeated rows; other columns are not read.
+    ``base`` and ``found`` are arrays of (kind, start, end, score), in code points, end exclusive. The
+    network scores every candidate: what base spans match (their score, which drops none of them), and
+    every other run of key characters, less what base spans cover; ``found`` has those that reach the
+    threshold. A null or empty text has none; null ids and repeated rows give a row each; other
+    columns, whatever their names, are not read; an empty table gives no rows.
     """
     held = df.sparkSession.sparkContext.broadcast(network or trained_network())
     span = "array<struct<kind:string,start:int,end:int,score:double>>"
@@ -203,22 +230,33 @@ def secret_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = held.value
         for batch in batches:
-            base_out, pending, windows = [], [], []
+            base_out: list[list] = [[] for _ in range(batch.num_rows)]
+            found_out: list[list] = [[] for _ in range(batch.num_rows)]
+            pending: list[tuple[int, int, int, int]] = []
+            windows: list[bytes] = []
+            firsts: list[int] = []
+
+            def judge(held: list, firsts: list, base_out=base_out, found_out=found_out):
+                best = np.maximum.reduceat(net.scores(held), firsts) if firsts else []
+                for (row, kind, s, e), score in zip(pending, best, strict=True):
+                    if kind < 3:
+                        base_out[row].append({"kind": KINDS[kind], "start": s, "end": e, "score": float(score)})
+                    elif score >= net.threshold:
+                        found_out[row].append({"kind": KINDS[3], "start": s, "end": e, "score": float(score)})
+                for x in (pending, held, firsts):
+                    x.clear()
+
             for row, value in enumerate(batch.column(1)):
                 text = value.as_py() or ""
                 base = base_spans(text)
-                base_out.append([{"kind": KINDS[k], "start": s, "end": e, "score": 1.0} for s, k, e in base])
-                taken = [(s, e) for s, _, e in base]
-                for m in CANDIDATE.finditer(text):
-                    if not any(s < m.end() and m.start() < e for s, e in taken):
-                        views = windows_of(text, m.start(), m.end())
-                        pending.append((row, m.start(), m.end(), len(windows)))
-                        windows += views
-            found_out: list[list] = [[] for _ in base_out]
-            best = np.maximum.reduceat(net.scores(windows), [first for *_, first in pending]) if pending else []
-            for (row, s, e, _), score in zip(pending, best, strict=True):
-                if score >= net.threshold:
-                    found_out[row].append({"kind": KINDS[3], "start": s, "end": e, "score": float(score)})
+                bodies = ((s, ASSIGN.match(text, s).start(2) if kind == 0 else s, kind, e) for s, kind, e in base)
+                for s, body, kind, e in itertools.chain(bodies, ((s, s, 3, e) for s, e in free_parts(text, base))):
+                    pending.append((row, kind, s, e))
+                    firsts.append(len(windows))
+                    windows += windows_of(text, body, e)
+                    if len(windows) > HELD_WINDOWS:
+                        judge(windows, firsts)
+            judge(windows, firsts)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base_out, out_type), pa.array(found_out, out_type)], ["id", "base", "found"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -232,3 +232,37 @@ def test_warc_in_small_splits(spark, tmp_path):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert len(whole) == len(rows)
+
+
+def test_every_candidate_is_scored(spark):
+    from roadloom.llm import secrets as sc
+
+    key = "Zq8vT3xKp0LmR7sWb2Yd9Nc4"
+    texts = [f"token = {key} and AKIA{'7Q' * 8} then {key}", "AKIA" + "A1" * 8 + "-" + key + "/rest", "x" * 3000 + " " + key, None, ""]
+    rows = spark.createDataFrame([(None if i == 3 else i, t, "kept out") for i, t in enumerate(texts)], "doc_id bigint, text string, BASE string")
+    found = {r.doc_id: r for r in sc.secret_spans(rows).collect()}
+    assert [(b.kind, b.start, b.end) for b in found[0].base] == [("assign", 0, 8 + len(key)), ("access", 37, 57)]
+    assert all(0 < b.score <= 1 for b in found[0].base)  # the network's, not a constant
+    assert [(f.start, f.end) for f in found[0].found] == [(63, 63 + len(key))]
+    assert [(b.kind, b.end) for b in found[1].base] == [("access", 20)]
+    assert [texts[1][f.start : f.end].strip("-") for f in found[1].found] == [key + "/rest"]  # the rest of a run that a base span begins
+    assert [(f.start, f.end) for f in found[2].found] == [(3001, 3001 + len(key))]
+    assert found[None].base == [] and found[4].found == []
+
+
+def test_free_parts_are_found_in_one_pass():
+    import random
+    import time
+
+    from roadloom.llm import secrets as sc
+
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choices("abcdef0123456789", k=20)) + rng.choice(("", "-" + "Q" * 20)) for _ in range(40_000))
+    base = sc.base_spans(text)
+    began = time.perf_counter()
+    parts = list(sc.free_parts(text, base))
+    assert len(base) >= 40_000 and time.perf_counter() - began < 5
+    covered = bytearray(len(text))
+    for s, _, e in base:
+        covered[s:e] = b"\1" * (e - s)
+    assert parts and all(not any(covered[s:e]) and e - s >= sc.LEAST for s, e in parts)
