@@ -20,8 +20,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "network")
 
-#: Runs that the network judges: at least ``LEAST`` characters of key alphabets.
-LEAST = 16
+#: Runs that the network judges: at least ``LEAST`` characters of key alphabets, of which ``DISTINCT`` differ (a random
+#: key of 16 hexadecimal digits has fewer with a chance of 1 in 2,400,000; a rule of dashes has one).
+LEAST, DISTINCT = 16, 5
 #: Views that a task holds before it scores them.
 HELD_WINDOWS = 20_000
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
@@ -129,7 +130,7 @@ def labelled_findings(n: int, seed: int) -> tuple[list[bytes], np.ndarray]:
         if secret:
             body = (pick(mixed, int(rng.integers(16, 48))), pick(mixed + "+/", 40) + "=", pick("abcdef" + digits, 32), word()[:3] + "_" + pick(mixed, 36), pick(lower.upper() + digits, 24), pick(mixed + "-_", int(rng.integers(20, 64))), pick(lower + lower.upper(), int(rng.integers(16, 48))), pick(mixed, int(rng.integers(16, 20))))[kind]
         else:
-            body = ("-".join(word() for _ in range(5)) + "-" + pick(digits, 2), "_".join(word() for _ in range(4)) + pick(digits, 1), pick("2", 1) + "0" + pick(digits, 2) + "-0" + pick("123456789", 1) + "-" + pick("12", 1) + pick(digits, 1) + "-" + word() + "-" + word(), pick(digits, int(rng.integers(16, 20))), "/".join(word() for _ in range(5)) + "/" + pick(digits, 1), "=" * int(rng.integers(12, 30)) + pick(digits, 4), ("-", "_", "/")[int(rng.integers(0, 3))].join(named(int(rng.integers(0, 3))) for _ in range(6)), named(3) if rng.random() < 0.8 else pick("=-_/+" + mixed if rng.random() < 0.5 else "=-_/+", 1) * int(rng.integers(16, 60)))[kind]
+            body = ("-".join(word() for _ in range(5)) + "-" + pick(digits, 2), "_".join(word() for _ in range(4)) + pick(digits, 1), pick("2", 1) + "0" + pick(digits, 2) + "-0" + pick("123456789", 1) + "-" + pick("12", 1) + pick(digits, 1) + "-" + word() + "-" + word(), pick(digits, int(rng.integers(16, 20))), "/".join(word() for _ in range(5)) + "/" + pick(digits, 1), "=" * int(rng.integers(12, 30)) + pick(digits, 4), ("-", "_", "/")[int(rng.integers(0, 3))].join(named(int(rng.integers(0, 3))) for _ in range(6)), named(3) if rng.random() < 0.8 else pick("=-_/+", 1) * int(rng.integers(16, 60)))[kind]
             while len(body) < 16:
                 body += word()
 
@@ -207,13 +208,17 @@ def free_parts(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[in
         while first < len(taken) and taken[first][1] <= at:
             first += 1
         for s, e in itertools.takewhile(lambda span, end=m.end(): span[0] < end, itertools.islice(taken, first, None)):
-            if s - at >= LEAST:
+            if key_like(text, at, s):
                 yield at, s
             at = max(at, e)
-        if m.end() - at >= LEAST:
+        if key_like(text, at, m.end()):
             yield at, m.end()
 
 
+def key_like(text: str, start: int, end: int) -> bool:
+    return end - start >= LEAST and len(set(text[start:end])) >= DISTINCT
+
+
 def secret_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", network: Network | None = None) -> DataFrame:
     """One row per row of ``df``: id, base and network spans.
 

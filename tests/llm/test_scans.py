@@ -257,7 +257,7 @@ def test_free_parts_are_found_in_one_pass():
     from roadloom.llm import secrets as sc
 
     rng = random.Random(8)
-    text = " ".join("".join(rng.choices("abcdef0123456789", k=20)) + rng.choice(("", "-" + "Q" * 20)) for _ in range(40_000))
+    text = " ".join("".join(rng.choices("abcdef0123456789", k=20)) + rng.choice(("", "-" + "QWERTYUIOPASDFGHJKLZ")) for _ in range(40_000))
     base = sc.base_spans(text)
     began = time.perf_counter()
     parts = list(sc.free_parts(text, base))
