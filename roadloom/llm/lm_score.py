@@ -25,8 +25,8 @@ STEP = 1 << 11
 #: Words whose counts are broadcast (8 + 8 bytes each); the others' meet their counts in a shuffle.
 TOP_WORDS = 1 << 17
 END = np.uint64(0x656E642D6F662D74)
-#: In each update a weight's step is its gradient by a rate x its decisions + DAMP.
-RATES, DAMP = (0.6, 0.6), 30
+#: A weight's step is its gradient by the update's rate x its decisions + the update's damping.
+STEPS = ((0.25, 6), (0.3, 10))
 #: Distinct words that a task holds before it sends partial counts.
 HELD_WORDS = 400_000
 
@@ -151,17 +151,17 @@ class Model:
             logits += self.weights.take(s)
         return token, sign, logits, slots
 
-    def steps(self, tokens: np.ndarray, docs: np.ndarray) -> Iterator[tuple]:
-        """(first token, end token, decisions) of runs of tokens."""
-        features, place = contexts(tokens, docs), self.find(tokens)
+    def steps(self, tokens: np.ndarray, docs: np.ndarray, place: np.ndarray, used: int | None = None) -> Iterator[tuple]:
+        """(first token, end token, decisions) of runs of tokens, on all features or the first ``used``."""
+        features = contexts(tokens, docs)[:used]
         for s in range(0, len(tokens), STEP):
             e = min(s + STEP, len(tokens))
             yield s, e, self.decisions(tokens[s:e], place[s:e], [f[s:e] for f in features])
 
-    def scores(self, tokens: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    def scores(self, tokens: np.ndarray, docs: np.ndarray, place: np.ndarray) -> np.ndarray:
         """log10 probability of each token's leaf."""
         out = np.zeros(len(tokens))
-        for s, e, parts in self.steps(tokens, docs):
+        for s, e, parts in self.steps(tokens, docs, place):
             for token, sign, logits, _ in parts:
                 x = sign * logits  # minus the log probability is log(1 + exp(x))
                 out[s:e] += np.bincount(token, weights=np.maximum(x, 0) + np.log1p(np.exp(-np.abs(x))), minlength=e - s)
@@ -198,21 +198,34 @@ def tree(counts: np.ndarray, others: float) -> tuple[np.ndarray, np.ndarray, np.
     return offsets, halves(ts.mix(nodes[sort])), (1 - 2 * bits[sort]).astype(np.float32), priors[sort].astype(np.float32)
 
 
-def gradient(docs: DataFrame, model, count: bool) -> DataFrame:
-    """(slice, sums) of a table of one text column: summed gradients, and after them the decisions if ``count``, in float32 for each slice of the slots; tasks send theirs rounded to 8 significant bits."""
+UPDATES = ("word before", "others")
+
+
+def taught(model: Model, tokens: np.ndarray, docs: np.ndarray, update: str) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(sign, log odds, slots) of what an update teaches: first the word before in all decisions, then, on top of it, the other features in those decisions that have them."""
+    if update == UPDATES[0]:
+        for _, _, parts in model.steps(tokens, docs, model.find(tokens), 1):
+            for _, sign, logits, slots in parts:
+                yield sign, logits, slots
+    else:
+        for _, _, parts in model.steps(tokens, docs, model.find(tokens)):
+            _, sign, logits, slots = next(parts)
+            yield sign, logits, slots[1:]
+
+
+def gradient(docs: DataFrame, model, update: str) -> DataFrame:
+    """(slice, sums) of a table of one text column: summed gradients and after them the decisions, in float32 for each slice of the slots; tasks send theirs rounded to 8 significant bits."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        sums = np.zeros((1 + count, len(m.weights)))
+        sums = np.zeros((2, len(m.weights)))
         for batch in batches:
             for tokens, at, _ in token_chunks(batch.column(0)):
-                for _, _, parts in m.steps(tokens, at):
-                    for _, sign, logits, slots in parts:
-                        error = sign / (1 + np.exp(-sign * logits)).astype(np.float64)
-                        for x in slots:
-                            np.add.at(sums[0], x, error)
-                            if count:
-                                np.add.at(sums[1], x, 1.0)
+                for sign, logits, slots in taught(m, tokens, at, update):
+                    error = sign / (1 + np.exp(-sign * logits)).astype(np.float64)
+                    for x in slots:
+                        np.add.at(sums[0], x, error)
+                        np.add.at(sums[1], x, 1.0)
         for i, part in enumerate(np.split(sums, SLICES, axis=1)):
             if part.any():
                 part = (part.astype(np.float32).view(np.uint32) + np.uint32(0x8000)) >> np.uint32(16)  # the first 16 bits: 8 of exponent, 7 of fraction
@@ -253,17 +266,14 @@ def fit(train: DataFrame, counts: DataFrame) -> tuple[Model, int, int, int]:
     others = int(total["v"]) - len(words)
     bits = slots_for(int(total["n"]))
     model = Model(words, n, *tree(n, int(total["n"]) - n.sum() + others + 1), others.bit_length() if others else 0, np.zeros(1 << bits, np.float32))
-    seen = np.zeros(1 << bits, np.float32)
     k = (1 << bits) // SLICES
-    for r, rate in enumerate(RATES if total["n"] else ()):
+    for update, (rate, damping) in zip(UPDATES, STEPS, strict=True) if total["n"] else ():
         held = spark.sparkContext.broadcast(model)
-        for row in gradient(train, held, r == 0).toLocalIterator():  # a slice at a time, for the driver's memory
+        for row in gradient(train, held, update).toLocalIterator():  # a slice at a time, for the driver's memory
             at = slice(row["slice"] * k, (row["slice"] + 1) * k)
-            sums = np.frombuffer(row["sums"], np.float32).reshape(-1, k)
-            if r == 0:
-                seen[at] = sums[1]
+            error, seen = np.frombuffer(row["sums"], np.float32).reshape(2, k)
             # Each weight's step is its summed gradient, scaled by the number of its decisions.
-            model.weights[at] -= np.clip(sums[0] / (rate * seen[at] + DAMP), -2, 2)
+            model.weights[at] -= np.clip(error / (rate * seen + damping), -2, 2)
         held.destroy()
     return model, int(total["n"]), int(total["v"]), least
 
@@ -290,7 +300,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         for batch in batches:
             out, rare = [], []
             for tokens, at, n in token_chunks(batch.column(0)):
-                score, place = m.scores(tokens, at), m.find(tokens)
+                place = m.find(tokens)
+                score = m.scores(tokens, at, place)
                 known = place < len(m.words)
                 log = known_log[place]
                 edges = np.searchsorted(at, np.arange(n))
