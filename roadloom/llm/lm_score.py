@@ -75,16 +75,20 @@ def word_counts(column: DataFrame) -> DataFrame:
     return column.mapInArrow(scan, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def contexts(tokens: np.ndarray, docs: np.ndarray) -> list[np.ndarray]:
-    """Hashed features of each token: the word before, the two before as a pair, and the second before, skipping the one between."""
-    before = []
-    for k in (1, 2):
+def contexts(tokens: np.ndarray, docs: np.ndarray, used: int = 3) -> list[np.ndarray]:
+    """The first ``used`` hashed features of each token: the word before; the two before as a pair; the second before, skipping the one between."""
+
+    def before(k: int) -> np.ndarray:
         word = np.full(len(tokens), 0x5F, np.uint64)
         word[k:] = np.where(docs[k:] == docs[:-k], tokens[:-k], np.uint64(0x5F))
-        before.append(word)
-    one, two = before
-    pair = one * np.uint64(0x100000001B3) + two
-    return [halves(ts.mix(x + np.uint64(salt * 0x9E3779B1))) for salt, x in ((1, one), (2, pair), (3, two))]
+        return word
+
+    one = before(1)
+    values = [one]
+    if used > 1:
+        two = before(2)
+        values += [one * np.uint64(0x100000001B3) + two, two]
+    return [halves(ts.mix(x + np.uint64(salt * 0x9E3779B1))) for salt, x in enumerate(values[:used], 1)]
 
 
 def halves(hashes: np.ndarray) -> np.ndarray:
@@ -129,7 +133,8 @@ class Model:
         """(token, sign, log odds, slots of each feature) of the decisions of the tokens: first ones, deeper ones, and those among the other words."""
         first, all_of = self.offsets[place], self.offsets[place + 1] - self.offsets[place]
         top = np.minimum(all_of, SHALLOW)
-        for start, n, used in ((first, top, features), (first + top, all_of - top, features[:1])):
+        parts = ((first, top, features), (first + top, all_of - top, features[:1])) if len(features) > 1 else ((first, all_of, features),)
+        for start, n, used in parts:
             token = np.repeat(np.arange(len(tokens), dtype=np.int32), n)
             at = np.repeat(start - (np.cumsum(n) - n), n)
             at += np.arange(len(at))
@@ -151,9 +156,9 @@ class Model:
             logits += self.weights.take(s)
         return token, sign, logits, slots
 
-    def steps(self, tokens: np.ndarray, docs: np.ndarray, place: np.ndarray, used: int | None = None) -> Iterator[tuple]:
+    def steps(self, tokens: np.ndarray, docs: np.ndarray, place: np.ndarray, used: int = 3) -> Iterator[tuple]:
         """(first token, end token, decisions) of runs of tokens, on all features or the first ``used``."""
-        features = contexts(tokens, docs)[:used]
+        features = contexts(tokens, docs, used)
         for s in range(0, len(tokens), STEP):
             e = min(s + STEP, len(tokens))
             yield s, e, self.decisions(tokens[s:e], place[s:e], [f[s:e] for f in features])
