@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder that the session names; a temporary one only where it names none."""
+    """Checkpoint in the folder that the session names; a temporary one only where it names none and runs on one machine."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "roadloom-checkpoints"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share.")
+        context.setCheckpointDir(named or "file://" + os.path.join(tempfile.gettempdir(), "roadloom-checkpoints"))
     return df.checkpoint(eager=True)

@@ -167,8 +167,8 @@ def queries() -> dict[str, Query]:
         "line_curvature": on_grid(topology.line_curvature),
         "node_components": components("node"),
         "segment_components": components("segment"),
-        "dijkstra_from_node": on_grid(lambda n: paths.dijkstra(n, 0, 1000.0).select("node", "distance")),
-        "bfs_from_node": on_grid(lambda n: paths.breadth_first(n, 0, 4)),
+        "dijkstra_from_node": on_grid(lambda n: paths.dijkstra(n, 0).select("node", "distance")),
+        "bfs_from_node": on_grid(lambda n: paths.breadth_first(n, 0)),
         "relaxed_distances_r": on_grid(lambda n: paths.relaxed_node_distances(n, RADIUS)),
         "centre_distances_r": on_grid(lambda n: paths.centre_distances(n, RADIUS)),
         "reach_r": on_grid(lambda n: m.reach_count(n, RADIUS)),
@@ -254,6 +254,16 @@ dist AS (SELECT root, node, min(d) AS d FROM walk GROUP BY ALL)
 """
 
 
+def _from_node(step: str) -> str:
+    """Least distances from node 0 without a bound: a row for each node, which a shorter way replaces."""
+    return f""",
+walk(node, distance) USING KEY (node) AS (SELECT 0::BIGINT, 0.0::DOUBLE UNION
+  SELECT p.b, min(v.distance + {step}) FROM walk v JOIN prim p ON p.a = v.node LEFT JOIN recurring.walk r ON r.node = p.b
+  WHERE r.node IS NULL OR v.distance + {step} < r.distance GROUP BY p.b)
+SELECT node, distance FROM walk
+"""
+
+
 def _centre_distances(weight: str, radius: float) -> str:
     return f""",
 link AS (SELECT a, b, min({weight}) AS w FROM dual GROUP BY ALL),
@@ -332,8 +342,8 @@ def oracle_sql() -> dict[str, str]:
         "line_curvature": _NET + " SELECT segment_index, 0.0::DOUBLE AS value FROM seg",
         "node_components": _NET + ", lab AS (SELECT node, node AS l FROM node UNION SELECT b, l FROM lab JOIN prim ON a = node) SELECT node, dense_rank() OVER (ORDER BY min(l)) - 1 AS value FROM lab GROUP BY node",
         "segment_components": _NET + ", lab AS (SELECT node, node AS l FROM node UNION SELECT b, l FROM lab JOIN prim ON a = node), comp AS (SELECT node, dense_rank() OVER (ORDER BY min(l)) - 1 AS value FROM lab GROUP BY node) SELECT segment_index, value FROM seg JOIN comp ON source = node",
-        "dijkstra_from_node": _NET + ", walk AS (SELECT 0::BIGINT AS node, 0.0::DOUBLE AS d UNION SELECT b, d + w FROM walk JOIN prim ON a = node WHERE d + w <= 1000) SELECT node, min(d) AS distance FROM walk GROUP BY node",
-        "bfs_from_node": _NET + ", walk AS (SELECT 0::BIGINT AS node, 0.0::DOUBLE AS d UNION SELECT b, d + 1 FROM walk JOIN prim ON a = node WHERE d + 1 <= 4) SELECT node, min(d) AS distance FROM walk GROUP BY node",
+        "dijkstra_from_node": _NET + _from_node("w"),
+        "bfs_from_node": _NET + _from_node("1.0"),
         "relaxed_distances_r": _NET + metric + " SELECT root, node, d AS distance FROM dist",
         "centre_distances_r": _NET + centre + " SELECT root, node AS segment_index, d AS distance FROM dist",
         "reach_r": _NET + metric + f" SELECT node, count(d) AS value {others}",

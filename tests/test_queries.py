@@ -8,7 +8,7 @@ import pytest
 SF = "/root/testdata/sf0.001"
 NAMES = (
     "segments_valid", "dual_edges", "angular_state_edges", "segment_components", "reach_r", "node_betweenness_r", "segment_betweenness_r", "sdna_betweenness_r", "pst_gravity_r",
-    "pst_mean_angular_distance_r", "canonicalize_segments", "canonicalize_metadata", "unlink_mask_skips", "mif_parse", "geojson_roundtrip", "compare_columns",
+    "pst_mean_angular_distance_r", "dijkstra_from_node", "bfs_from_node", "canonicalize_segments", "canonicalize_metadata", "unlink_mask_skips", "mif_parse", "geojson_roundtrip", "compare_columns",
 )
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the synthetic tables are not there")
