@@ -83,14 +83,13 @@ def line_components(lines: DataFrame, threshold: float) -> DataFrame:
     signatures = stored(line_keys(lines), "keys")
     keys = signatures.select("line_id", F.explode("keys").alias("key"))
     # A line has each of its keys once.
-    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("line_id").alias("first")).where("n > 1").select("key", "first")
     members = stored(keys.join(within(stored(buckets, "buckets")), "key"), "members")
     discard(signatures)
     needed = stored(members.select("line_id").distinct(), "needed")
     texts = stored(lines.select("line_id", "line").join(within(needed), "line_id").groupBy("line_id").agg(F.first("line").alias("line")), "texts")
 
-    firsts = stored(members.groupBy("key").agg(F.min("line_id").alias("first")), "firsts")
-    others = met(members, firsts, "key", "line_id").where("line_id != first")
+    others = members.where("line_id != first")
     pairs = others.select(F.col("first").alias("a"), F.col("line_id").alias("b")).distinct()
     edges = verified(pairs, texts, threshold)
     roots = connected_components(edges)
