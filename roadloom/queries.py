@@ -17,9 +17,10 @@ from roadloom.operators import measures as m
 from roadloom.operators import paths, topology
 from roadloom.operators.routes import routes
 from roadloom.plans import catalog, validation
-from roadloom.plans.network import GRID_SQL, RoadNetwork, grid_network
+from roadloom.plans.network import GRID_SQL, RoadNetwork, from_columns, grid_network
 from roadloom.plans.rowhash import row_hash_frame
-from roadloom.sources import geojson, mapinfo
+from roadloom.plans.scratch import scratch_path
+from roadloom.sources import flatgeobuf, geojson, mapinfo, segment_csv
 
 RADIUS, HOPS, DEGREES = 400.0, 3.0, 90.0
 
@@ -134,6 +135,99 @@ def geojson_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geojson.network_of(text).segments.select("segment_index", "segment_id", "source", "target", "length_m", "x0", "y0", "x1", "y1")
 
 
+def flatgeobuf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    contents = spark.createDataFrame([(bytearray(flatgeobuf.to_flatgeobuf(grid_network(spark, sf_dir))),)], "content binary")
+    return flatgeobuf.network_of(contents).segments.select("segment_index", "segment_id", "source", "target", "length_m", "x0", "y0", "x1", "y1")
+
+
+def feature_folder_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "features")
+    geojson.write_features(grid_network(spark, sf_dir), path)
+    return geojson.read_feature_lines(spark, path).segments.select("segment_index", "segment_id", "source", "target", "length_m", "x0", "y0", "x1", "y1")
+
+
+def segment_csv_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "segments-csv")
+    names = {"segment_index": "Ref", "x0": " x1", "y0": " y1", "x1": "x2", "y1": "y2", "length_m": "Segment Length"}
+    rows = grid_network(spark, sf_dir).segments.orderBy("segment_index").select(*(F.col(c).alias(n) for c, n in names.items()))
+    rows.coalesce(1).write.option("header", True).csv(path)  # an export is one file
+    return segment_csv.network_of(segment_csv.read_rows(spark, path)).segments.select("segment_index", "source", "target", "length_m", "x0", "y0", "x1", "y1")
+
+
+def columnar_init(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A network of columns in memory, as a client sends them; every third line has no ends."""
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_regionkey").orderBy("n_nationkey").collect()
+    ends = [None if r.n_nationkey % 3 == 0 else float(r.n_nationkey) for r in rows]
+    made = from_columns(spark, [r.n_nationkey for r in rows], [100 + r.n_regionkey for r in rows], [r.n_nationkey + 1.5 for r in rows], ends, ends, [r.n_regionkey for r in rows], [r.n_regionkey for r in rows])
+    first, last = F.element_at("geometry", 1), F.element_at("geometry", -1)
+    return made.segments.select("segment_index", "source", "target", "length_m", "x0", "y0", "x1", "y1", first["x"].alias("ax"), first["y"].alias("ay"), last["x"].alias("bx"), last["y"].alias("by"))
+
+
+def feature_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line with as many parts as the region has nations, for each region, from the text of a collection."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    pair = lambda x, y: F.array(x.cast("double"), y.cast("double"))
+    n, r = F.col("n_nationkey"), F.col("n_regionkey")
+    parts = nation.groupBy("n_regionkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", F.array(pair(n, r), pair(n, r + 1), pair(n + 2, r + 1)).alias("p")))), lambda x: x["p"]).alias("parts"))
+    kinds = F.when(r % 2 == 0, F.struct(F.lit("MultiLineString").alias("type"), F.to_json("parts").alias("coordinates"))).otherwise(F.struct(F.lit("LineString").alias("type"), F.to_json(F.col("parts")[0]).alias("coordinates")))
+    named = parts.select(r.alias("segment_index"), kinds.alias("k"))
+    line = F.concat(F.lit('{"type":"Feature","id":"r'), F.col("segment_index").cast("string"), F.lit('","geometry":{"type":"'), F.col("k.type"), F.lit('","coordinates":'), F.col("k.coordinates"), F.lit('},"properties":{"kind":"'), F.col("segment_index").cast("string"), F.lit('"}}'))
+    text = _text_of(named.select("segment_index", line.alias("line"))).select(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.replace("value", F.lit("\n"), F.lit(",\n")), F.lit("]}")).alias("value"))
+    flat = geojson.flattened(geojson.features_of(text))
+    last = F.element_at("points", -1)
+    return flat.select("feature_index", F.col("part").cast("bigint").alias("part"), "id", F.size("points").cast("bigint").alias("points"), last["x"].alias("x"), last["y"].alias("y"), F.col("properties")["kind"].alias("kind"))
+
+
+def mif_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mapinfo.features_of(mapinfo.parse_mif(*_mif(grid_network(spark, sf_dir))))
+    return found.select("feature_index", "id", F.col("parts")[0][0]["x"].alias("x0"), F.col("parts")[0][0]["y"].alias("y0"), F.col("parts")[0][1]["x"].alias("x1"), F.col("parts")[0][1]["y"].alias("y1"), F.col("properties")["Name"].alias("name"))
+
+
+def mif_unlink_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(mapinfo.unlink_masks(mapinfo.parse_mif(*_mif(grid_network(spark, sf_dir)))))
+
+
+def bent_lines(spark: SparkSession, sf_dir: str) -> can.Canonical:
+    """A long line with a part of no length for each region, a line with a bend for each nation, one that ends on another; one crossing is masked, short ends are dropped."""
+    region, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("region", "nation"))
+    point = lambda x, y: F.struct(F.lit(x).cast("double").alias("x"), F.lit(y).cast("double").alias("y"))
+    r, n = F.col("r_regionkey").cast("bigint"), F.col("n_nationkey").cast("bigint")
+    none = F.lit(None).cast("map<string,string>")
+    across = region.select(r.alias("feature_index"), F.concat(F.lit("r"), r.cast("string")).alias("id"), F.array(F.array(point(-1, 10 * r + 5), point(101, 10 * r + 5)), F.array(point(7, r), point(7, r))).alias("parts"), F.create_map(F.lit("length_m"), F.lit("204")).alias("properties"))
+    down = nation.select((1000 + n).alias("feature_index"), F.concat(F.lit("n"), n.cast("string")).alias("id"), F.array(F.array(point(4 * n, 0), point(4 * n, 50), point(4 * n + 2, 50))).alias("parts"), none.alias("properties"))
+    ends = spark.range(1).select(F.lit(2000).cast("bigint").alias("feature_index"), F.lit("t").alias("id"), F.array(F.array(point(50, 5), point(50, 9))).alias("parts"), none.alias("properties"))
+    masks = spark.createDataFrame([(8.0, 15.0, 1.0)], "cx double, cy double, radius double")
+    return can.canonicalize(across.unionByName(down).unionByName(ends), can.Options(preserve_source_ids=True, end_stub_min_ratio=0.06, unlink_masks=masks))
+
+
+def canonicalize_bent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = bent_lines(spark, sf_dir).network.segments
+    return rounded(s.select("segment_index", "source", "target", "length_m", "x0", "y0", "x1", "y1", F.size("geometry").cast("bigint").alias("points"), "original_feature_id"))
+
+
+def canonicalize_bent_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bent_lines(spark, sf_dir).metadata
+    names = ("input_feature_count", "input_line_count", "intersections_split", "intersections_skipped_by_unlink", "zero_length_discarded", "discarded_end_stubs", "output_segment_count", "node_count")
+    return spark.createDataFrame([tuple(found[n] for n in names) + (round(found["total_length_m"], 6),)], ", ".join(f"{n} bigint" for n in names) + ", total_length_m double")
+
+
+def path_from_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The farthest node that node 0 reaches, its distance, and the sum of the least segments along the path that is found."""
+    network = grid_network(spark, sf_dir)
+    tree = paths.dijkstra(network, 0).cache()
+    last = tree.orderBy(F.desc("distance"), F.desc("node")).first()
+    way = paths.reconstruct_path(tree, last["node"])
+    steps = spark.createDataFrame(list(zip(way, way[1:])), "from_node bigint, to_node bigint")
+    least = topology.primal_edges(network).groupBy("from_node", "to_node").agg(F.min("weight").alias("weight"))
+    return steps.join(least, ["from_node", "to_node"]).agg(F.lit(last["node"]).cast("bigint").alias("node"), F.lit(last["distance"]).alias("distance"), F.sum("weight").alias("along"))
+
+
+def on_demand_primal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values asked one at a time, of the first three segments."""
+    network = grid_network(spark, sf_dir)
+    return rounded(spark.createDataFrame([(s, m.on_demand_primal_integration(network, RADIUS, s)) for s in range(3)], "segment_index bigint, value double"))
+
+
 def components(kind: str) -> Query:
     return on_grid(paths.node_components if kind == "node" else paths.segment_components)
 
@@ -221,6 +315,17 @@ def queries() -> dict[str, Query]:
         "mif_parse": mif_parse,
         "mid_parse": mid_parse,
         "geojson_roundtrip": geojson_roundtrip,
+        "flatgeobuf_roundtrip": flatgeobuf_roundtrip,
+        "feature_folder_roundtrip": feature_folder_roundtrip,
+        "segment_csv_network": segment_csv_network,
+        "columnar_init": columnar_init,
+        "feature_parts": feature_parts,
+        "mif_features": mif_features,
+        "mif_unlink_masks": mif_unlink_masks,
+        "canonicalize_bent": canonicalize_bent,
+        "canonicalize_bent_metadata": canonicalize_bent_metadata,
+        "path_from_node": path_from_node,
+        "on_demand_primal": on_demand_primal,
         "method_catalog": lambda spark, _: catalog.method_catalog(spark).select("method", "measure", "radius", "column", "on_demand"),
         "allowed_columns": lambda spark, _: spark.createDataFrame([(c,) for c in catalog.allowed_columns()], "column string"),
         "compare_columns": compare,
@@ -313,6 +418,29 @@ ends AS (SELECT x0 AS x, y0 AS y, 2 * segment_index AS seen FROM p UNION ALL SEL
 nodes AS (SELECT x, y, row_number() OVER (ORDER BY min(seen)) - 1 AS node FROM ends GROUP BY x, y)
 """
 
+_BENT = """
+WITH line AS (
+  SELECT r_regionkey::BIGINT AS line, 'r' || r_regionkey AS id, 'r' AS kind, (10 * r_regionkey + 5)::DOUBLE AS pos, 102.0::DOUBLE AS size, 204.0::DOUBLE AS reported FROM region
+  UNION ALL SELECT (SELECT count(*) FROM region) + row_number() OVER (ORDER BY n_nationkey) - 1, 'n' || n_nationkey, 'n', (4 * n_nationkey)::DOUBLE, 52.0, 52.0 FROM nation
+  UNION ALL SELECT (SELECT count(*) FROM region) + (SELECT count(*) FROM nation), 't', 't', 50.0, 4.0, 4.0),
+hit AS (SELECT h.line AS line_a, v.pos + 1 AS at_a, v.line AS line_b, CASE WHEN v.kind = 'n' THEN h.pos ELSE 0.0 END AS at_b, v.pos = 8 AND h.pos = 15 AS skipped
+        FROM line h JOIN line v ON h.kind = 'r' AND (v.kind = 'n' AND h.pos < 50 OR v.kind = 't' AND h.pos = 5)),
+cut AS (SELECT line, 0.0::DOUBLE AS d FROM line UNION SELECT line, size FROM line UNION SELECT line_a, at_a FROM hit WHERE NOT skipped UNION SELECT line_b, at_b FROM hit WHERE NOT skipped),
+piece AS (SELECT line, d AS d0, lead(d) OVER (PARTITION BY line ORDER BY d) AS d1 FROM cut),
+whole AS (SELECT *, (d0 = 0 OR d1 = size) AND (d1 - d0) / size < 0.06 AS stub FROM piece JOIN line USING (line) WHERE d1 IS NOT NULL),
+p AS (
+  SELECT row_number() OVER (ORDER BY line, d0) - 1 AS segment_index, id, reported * (d1 - d0) / size AS length_m,
+         CASE kind WHEN 'r' THEN d0 - 1 WHEN 'n' THEN pos + greatest(d0 - 50, 0) ELSE pos END AS x0, CASE kind WHEN 'r' THEN pos WHEN 'n' THEN least(d0, 50) ELSE 5 + d0 END AS y0,
+         CASE kind WHEN 'r' THEN d1 - 1 WHEN 'n' THEN pos + greatest(d1 - 50, 0) ELSE pos END AS x1, CASE kind WHEN 'r' THEN pos WHEN 'n' THEN least(d1, 50) ELSE 5 + d1 END AS y1,
+         CASE WHEN kind = 'n' AND d0 < 50 AND d1 > 50 THEN 3 ELSE 2 END AS points
+  FROM whole WHERE NOT stub),
+ends AS (SELECT x0 AS x, y0 AS y, 2 * segment_index AS seen FROM p UNION ALL SELECT x1, y1, 2 * segment_index + 1 FROM p),
+nodes AS (SELECT x, y, row_number() OVER (ORDER BY min(seen)) - 1 AS node FROM ends GROUP BY x, y)
+"""
+
+#: The 64-bit FNV-1a hash over the bytes of an ASCII text, modulo 2^64 after every step.
+_FNV = "list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(t, ''), lambda c: ascii(c)::HUGEINT)), lambda a, b: (xor(a, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)"
+
 
 def oracle_sql() -> dict[str, str]:
     metric, hops = _node_distances(RADIUS), _node_distances(HOPS, "1.0")
@@ -375,10 +503,28 @@ def oracle_sql() -> dict[str, str]:
         "canonicalize_metadata": _LINES + " SELECT (SELECT count(*) FROM line) AS input_feature_count, (SELECT count(*) FROM line) AS input_line_count, (SELECT count(*) FROM hit) AS intersections_split, 0::BIGINT AS intersections_skipped_by_unlink, 0::BIGINT AS zero_length_discarded, 0::BIGINT AS discarded_end_stubs, (SELECT count(*) FROM p) AS output_segment_count, (SELECT count(*) FROM nodes) AS node_count, (SELECT round(sum(length_m), 6) FROM p) AS total_length_m",
         "unlink_mask_skips": _LINES + " SELECT line_a, line_b, EXISTS (SELECT 1 FROM region WHERE sqrt((x - 10 * r_regionkey) ** 2 + (y - 10 * r_regionkey - 5) ** 2) <= 4.5) AS skipped FROM hit",
         "normalize_coords": _LINES + ", pts AS (SELECT id, 0::BIGINT AS n, CASE WHEN across THEN 0.0 ELSE pos END AS x, CASE WHEN across THEN pos ELSE 0.0 END AS y FROM line UNION ALL SELECT id, 1, CASE WHEN across THEN size ELSE pos END, CASE WHEN across THEN pos ELSE size END FROM line), b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pts) SELECT id, n, round((x - (x0 + x1) / 2) / greatest(x1 - x0, y1 - y0), 6)::DOUBLE AS x, round((y - (y0 + y1) / 2) / greatest(x1 - x0, y1 - y0), 6)::DOUBLE AS y FROM pts, b",
-        "extent": _LINES + " SELECT 0.0::DOUBLE AS min_x, 0.0::DOUBLE AS min_y, 100.0::DOUBLE AS max_x, 60.0::DOUBLE AS max_y",
+        "extent": _LINES + " SELECT least(min(pos) FILTER (NOT across), 0.0)::DOUBLE AS min_x, least(min(pos) FILTER (across), 0.0)::DOUBLE AS min_y, greatest(max(pos) FILTER (NOT across), max(size) FILTER (across))::DOUBLE AS max_x, greatest(max(pos) FILTER (across), max(size) FILTER (NOT across))::DOUBLE AS max_y FROM line",
         "mif_parse": _NET + " SELECT segment_index AS row, x0, y0, x1, y1, 'Road, no. ' || segment_index AS name, length_m FROM seg",
         "mid_parse": _NET + " SELECT segment_index AS row, 'Road, no. ' || segment_index AS name, length_m FROM seg",
         "geojson_roundtrip": _NET + " SELECT segment_index, segment_index AS segment_id, source, target, length_m, x0, y0, x1, y1 FROM seg",
+        "flatgeobuf_roundtrip": _NET + " SELECT segment_index, segment_index AS segment_id, source, target, length_m, x0, y0, x1, y1 FROM seg",
+        "feature_folder_roundtrip": _NET + " SELECT segment_index, segment_index AS segment_id, source, target, length_m, x0, y0, x1, y1 FROM seg",
+        "segment_csv_network": _NET + ", seen AS (SELECT x0 AS x, y0 AS y, 2 * segment_index AS met FROM seg UNION ALL SELECT x1, y1, 2 * segment_index + 1 FROM seg), nn AS (SELECT x, y, row_number() OVER (ORDER BY min(met)) - 1 AS node FROM seen GROUP BY x, y) SELECT segment_index, s.node AS source, t.node AS target, length_m, x0, y0, x1, y1 FROM seg JOIN nn s ON s.x = x0 AND s.y = y0 JOIN nn t ON t.x = x1 AND t.y = y1",
+        "columnar_init": """
+WITH r AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS i, n_nationkey AS n, n_regionkey AS r, n_nationkey % 3 <> 0 AS there, n_nationkey + 1.5::DOUBLE AS w FROM nation)
+SELECT i AS segment_index, n::BIGINT AS source, 100 + r::BIGINT AS target, w AS length_m, CASE WHEN there THEN n::DOUBLE END AS x0, CASE WHEN there THEN n::DOUBLE END AS y0, CASE WHEN there THEN r::DOUBLE END AS x1, CASE WHEN there THEN r::DOUBLE END AS y1,
+       CASE WHEN there THEN n ELSE 0 END::DOUBLE AS ax, CASE WHEN there THEN n ELSE i END::DOUBLE AS ay, CASE WHEN there THEN r ELSE w END::DOUBLE AS bx, CASE WHEN there THEN r ELSE i END::DOUBLE AS by FROM r""",
+        "feature_parts": """
+WITH r AS (SELECT n_nationkey AS n, n_regionkey AS r, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS part, count(*) OVER (PARTITION BY n_regionkey) AS parts FROM nation),
+f AS (SELECT n_regionkey AS r, row_number() OVER (ORDER BY n_regionkey) - 1 AS feature_index FROM nation GROUP BY n_regionkey)
+SELECT feature_index, part, 'r' || r || CASE WHEN r % 2 = 0 AND parts > 1 THEN ':' || part ELSE '' END AS id, 3::BIGINT AS points, (n + 2)::DOUBLE AS x, (r + 1)::DOUBLE AS y, r::VARCHAR AS kind FROM r JOIN f USING (r) WHERE r % 2 = 0 OR part = 0""",
+        "mif_features": _NET + " SELECT segment_index AS feature_index, segment_index::VARCHAR AS id, x0, y0, x1, y1, 'Road, no. ' || segment_index AS name FROM seg",
+        "mif_unlink_masks": _NET + " SELECT (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, round(greatest(2.0::DOUBLE, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) / 2 + 2), 6) AS radius FROM seg",
+        "canonicalize_bent": _BENT + " SELECT segment_index, s.node AS source, t.node AS target, round(length_m, 6) AS length_m, x0, y0, x1, y1, points::BIGINT AS points, id AS original_feature_id FROM p JOIN nodes s ON s.x = x0 AND s.y = y0 JOIN nodes t ON t.x = x1 AND t.y = y1",
+        "canonicalize_bent_metadata": _BENT + " SELECT (SELECT count(*) FROM line) AS input_feature_count, (SELECT count(*) FROM line) AS input_line_count, (SELECT count(*) FROM hit WHERE NOT skipped) AS intersections_split, (SELECT count(*) FROM hit WHERE skipped) AS intersections_skipped_by_unlink, 0::BIGINT AS zero_length_discarded, (SELECT count(*) FROM whole WHERE stub) AS discarded_end_stubs, (SELECT count(*) FROM p) AS output_segment_count, (SELECT count(*) FROM nodes) AS node_count, (SELECT round(sum(length_m), 6) FROM p) AS total_length_m",
+        "path_from_node": _NET + _from_node("w").replace("SELECT node, distance FROM walk", "SELECT node, distance, distance AS along FROM walk ORDER BY distance DESC, node DESC LIMIT 1"),
+        "on_demand_primal": _NET + metric + f", h AS (SELECT node, coalesce(sum(1 / d), 0.0) AS value {others}) SELECT segment_index, round((p.value + t.value) / 2, 6) AS value FROM seg JOIN h p ON p.node = source JOIN h t ON t.node = target WHERE segment_index < 3",
+        "row_hash": _NET + f", x AS (SELECT string_agg(segment_index || '|' || source || '|' || target || '|' || printf('%.6f', length_m) || chr(10), '' ORDER BY segment_index) AS t FROM seg) SELECT lower(lpad(to_hex(({_FNV})::UBIGINT), 16, '0')) AS row_hash, (SELECT count(*) FROM seg) AS feature_count FROM x",
         "method_catalog": f"SELECT method, measure, radius, {name} AS \"column\", on_demand {radii}",
         "allowed_columns": f"SELECT {name} AS \"column\" {radii}",
         "compare_columns": """

@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from roadloom.plans.network import NetworkError, RoadNetwork
 from roadloom.schema import SEGMENTS
@@ -199,7 +199,12 @@ def decode(data: bytes) -> list[dict]:
 
 
 def read_flatgeobuf(spark: SparkSession, path: str) -> RoadNetwork:
-    """The network of one file; executors read and decode it, in one task, since the format has no index of its rows without a walk."""
+    """The network of one file, which an executor reads and decodes."""
+    return network_of(spark.read.format("binaryFile").load(path))
+
+
+def network_of(contents: DataFrame) -> RoadNetwork:
+    """The network of one file's bytes in a column ``content``; one task decodes them, since the format has no index of its rows without a walk."""
     import pyarrow as pa
 
     names = SEGMENTS.names
@@ -220,7 +225,7 @@ def read_flatgeobuf(spark: SparkSession, path: str) -> RoadNetwork:
                 kind = lambda f: line if f.name == "geometry" else {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}[f.dataType.simpleString()]
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], kind(f)) for f in SEGMENTS.fields], names)
 
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(scan, SEGMENTS)
+    rows = contents.select("content").mapInArrow(scan, SEGMENTS)
     return RoadNetwork(rows).validate()
 
 

@@ -10,7 +10,7 @@ from roadloom.schema import SEGMENTS
 
 
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text with trimmed names, numbered in the order of ``Ref`` where there is one (else of the file)."""
+    """All columns as text with trimmed names, numbered in the order of the file."""
     rows = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
     rows = rows.toDF(*(c.strip() for c in rows.columns))
     filled = F.concat_ws("", *(F.trim(f"`{c}`") for c in rows.columns)) != ""

@@ -9,6 +9,8 @@ SF = "/root/testdata/sf0.001"
 NAMES = (
     "segments_valid", "dual_edges", "angular_state_edges", "segment_components", "reach_r", "node_betweenness_r", "segment_betweenness_r", "sdna_betweenness_r", "pst_gravity_r",
     "pst_mean_angular_distance_r", "dijkstra_from_node", "bfs_from_node", "canonicalize_segments", "canonicalize_metadata", "unlink_mask_skips", "mif_parse", "geojson_roundtrip", "compare_columns",
+    "flatgeobuf_roundtrip", "feature_folder_roundtrip", "segment_csv_network", "columnar_init", "feature_parts", "mif_features", "mif_unlink_masks", "canonicalize_bent", "canonicalize_bent_metadata", "path_from_node",
+    "on_demand_primal", "row_hash", "extent",
 )
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the synthetic tables are not there")
