@@ -130,6 +130,48 @@ def _centre_fold(network: RoadNetwork, radius: float, kind: str, value: Column,
     return network.segments.select("segment_index").join(found, "segment_index", "left").select("segment_index", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
+def _angular_fold(network: RoadNetwork, radius: float, kind: str, value: Column, weights: DataFrame | None = None, beta: float = 1.0, self_distance: float = 1.0) -> DataFrame:
+    """One value for each root from its sums (reach, turned, gravity, own), made within the search.
+
+    An angular radius doesn't bound what is reached: a table of distances would have a row for almost every
+    pair of segments. Streets stand for their segments, with the sum of their weights.
+    """
+    held = None
+    if weights is not None:
+        _ = network.graph  # raises for a graph too large to hold
+        held = network.spark.sparkContext.broadcast(weights_or_ones(network, weights).toArrow())
+
+    def of_streets(graph: k.StreetGraph) -> tuple[list[float], list[float], dict]:
+        made = graph.folds.get(kind)
+        if made is None or made[0] is not (held and held.value):
+            street, near = graph.streets(kind)
+            own = [1.0] * len(graph) if held is None else [0.0] * len(graph)
+            if held is not None:
+                for i, w in zip(held.value["segment_index"].to_pylist(), held.value["weight"].to_pylist(), strict=True):
+                    own[graph.position[i]] += w
+            total = [0.0] * len(near)
+            for s, w in enumerate(own):
+                total[street[s]] += w
+            made = graph.folds[kind] = held and held.value, own, total, {}
+        return made[1:]
+
+    def kernel(graph: k.StreetGraph, root: int):
+        street, near = graph.streets(kind)
+        own, total, seen = of_streets(graph)
+        key = street[root], radius, beta, self_distance
+        if key not in seen:
+            reach = turned = gravity = 0.0
+            for s, d in k.street_distances(near, street[root], radius).items():
+                reach += total[s]
+                turned += total[s] * d
+                gravity += total[s] / (self_distance if d == 0 else d) ** beta
+            seen[key] = reach, turned, gravity
+        yield graph.index[root], *seen[key], own[root], graph.curvature[root]
+
+    found = run(network, all_segments(network), kernel, "segment_index bigint, reach double, turned double, gravity double, own double, curvature double")
+    return found.select("segment_index", F.coalesce(value, F.lit(0.0)).alias("value"))
+
+
 def _mean(distance: Column, weight: Column) -> Column:
     return F.sum(distance * weight) / F.nullif(F.sum(weight), F.lit(0.0))
 
@@ -167,8 +209,10 @@ def pst_gravity(network: RoadNetwork, radius: float, weights: DataFrame | None =
         raise NetworkError("beta must be finite and non-negative.")
     if not (math.isfinite(self_distance) and self_distance > 0):
         raise NetworkError("self_distance must be finite and positive.")
+    if angular:
+        return _angular_fold(network, radius, "turn", F.col("gravity"), weights, float(beta), float(self_distance))
     distance = F.when(F.col("distance") == 0, F.lit(float(self_distance))).otherwise(F.col("distance"))
-    return _centre_fold(network, radius, "turn" if angular else "metric", F.sum(F.col("weight") / F.power(distance, F.lit(float(beta)))), weights)
+    return _centre_fold(network, radius, "metric", F.sum(F.col("weight") / F.power(distance, F.lit(float(beta)))), weights)
 
 
 def pst_mean_distance(network: RoadNetwork, radius: float, weights: DataFrame | None = None, angular: bool = False) -> DataFrame:

@@ -217,3 +217,34 @@ def test_validation_names_the_first_error(spark):
 def from_rows(spark, rows):
     line = [(0.0, 0.0), (1.0, 0.0)]
     return RoadNetwork(spark.createDataFrame([(i, s, a, b, length, line, *[None] * 8) for i, s, a, b, length in rows], SEGMENTS))
+
+
+def skewed_grid(spark, side=6):
+    """Straight streets, some of them broken, with crossings at right angles and a few diagonals."""
+    rows = []
+    for i in range(side):
+        for j in range(side):
+            n = side * i + j
+            if j < side - 1:
+                rows.append((n, n + 1, 100.0 + (7 * n) % 13, 100.0 * j, 100.0 * i, 100.0 * (j + 1), 100.0 * i))
+            if i < side - 1 and n % 5:
+                rows.append((n, n + side, 100.0 + (5 * n) % 17, 100.0 * j, 100.0 * i, 100.0 * j, 100.0 * (i + 1)))
+            if i < side - 1 and j < side - 1 and n % 7 == 3:
+                rows.append((n, n + side + 1, 150.0, 100.0 * j, 100.0 * i, 100.0 * (j + 1), 100.0 * (i + 1)))
+    return make(spark, rows)
+
+
+def test_angular_folds_make_no_table_of_pairs(spark, monkeypatch):
+    net = skewed_grid(spark)
+    n = net.segments.count()
+    w = [float(i % 4) for i in range(n)]
+    held = weights(spark, *w)
+    for kind in ("turn", "bend"):
+        far = {}
+        for r in paths.centre_distances(net, 100.0, kind).collect():
+            far.setdefault(r.root, []).append((w[r.segment_index], r.distance))
+        with monkeypatch.context() as patch:
+            patch.setattr(m, "centre_distances", None)
+            if kind == "bend":
+                continue
+            close(values(m.pst_gravity(net, 100.0, held, 1.5, 2.0, angular=True)), [sum(a / (d or 2.0) ** 1.5 for a, d in far[s]) for s in range(n)], 1e-9)
