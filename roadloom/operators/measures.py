@@ -200,7 +200,9 @@ def sdna_weight(network: RoadNetwork, radius: float, weights: DataFrame | None =
 
 def pst_reach(network: RoadNetwork, radius: float, weights: DataFrame | None = None, angular: bool = False) -> DataFrame:
     """Sum of weights within a metric radius, or an angular one in degrees."""
-    return _centre_fold(network, radius, "turn" if angular else "metric", F.sum("weight"), weights)
+    if angular:
+        return _angular_fold(network, radius, "turn", F.col("reach"), weights)
+    return _centre_fold(network, radius, "metric", F.sum("weight"), weights)
 
 
 def pst_gravity(network: RoadNetwork, radius: float, weights: DataFrame | None = None, beta: float = 1.0, self_distance: float = 1.0, angular: bool = False) -> DataFrame:
