@@ -218,7 +218,9 @@ def pst_gravity(network: RoadNetwork, radius: float, weights: DataFrame | None =
 
 
 def pst_mean_distance(network: RoadNetwork, radius: float, weights: DataFrame | None = None, angular: bool = False) -> DataFrame:
-    return _centre_fold(network, radius, "turn" if angular else "metric", _mean(F.col("distance"), F.col("weight")), weights)
+    if angular:
+        return _angular_fold(network, radius, "turn", F.col("turned") / F.nullif("reach", F.lit(0.0)), weights)
+    return _centre_fold(network, radius, "metric", _mean(F.col("distance"), F.col("weight")), weights)
 
 
 def _weight_list(network: RoadNetwork, weights: DataFrame | None):

@@ -248,5 +248,6 @@ def test_angular_folds_make_no_table_of_pairs(spark, monkeypatch):
             if kind == "bend":
                 continue
             close(values(m.pst_reach(net, 100.0, held, angular=True)), [sum(a for a, _ in far[s]) for s in range(n)])
+            close(values(m.pst_mean_distance(net, 100.0, held, angular=True)), [sum(a * d for a, d in far[s]) / sum(a for a, _ in far[s]) for s in range(n)], 1e-9)
             close(values(m.pst_gravity(net, 100.0, held, 1.5, 2.0, angular=True)), [sum(a / (d or 2.0) ** 1.5 for a, d in far[s]) for s in range(n)], 1e-9)
             close(values(m.pst_reach(net, 100.0, angular=True)), [float(len(far[s])) for s in range(n)])
