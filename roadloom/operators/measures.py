@@ -182,8 +182,7 @@ def sdna_mean_distance(network: RoadNetwork, radius: float, weights: DataFrame |
 
 def sdna_angular_mean_distance(network: RoadNetwork, radius: float, weights: DataFrame | None = None) -> DataFrame:
     """Mean of angular distances in degrees; the root itself counts with a third of its own curvature."""
-    distance = F.when(F.col("self"), F.col("curvature") / 3).otherwise(F.col("distance"))
-    return _centre_fold(network, radius, "bend", _mean(distance, F.col("weight")), weights)
+    return _angular_fold(network, radius, "bend", (F.col("turned") + F.col("own") * F.col("curvature") / 3) / F.nullif("reach", F.lit(0.0)), weights)
 
 
 def sdna_links(network: RoadNetwork, radius: float) -> DataFrame:

@@ -246,6 +246,7 @@ def test_angular_folds_make_no_table_of_pairs(spark, monkeypatch):
         with monkeypatch.context() as patch:
             patch.setattr(m, "centre_distances", None)
             if kind == "bend":
+                close(values(m.sdna_angular_mean_distance(net, 100.0, held)), [sum(a * d for a, d in far[s]) / sum(a for a, _ in far[s]) for s in range(n)], 1e-9)
                 continue
             close(values(m.pst_reach(net, 100.0, held, angular=True)), [sum(a for a, _ in far[s]) for s in range(n)])
             close(values(m.pst_mean_distance(net, 100.0, held, angular=True)), [sum(a * d for a, d in far[s]) / sum(a for a, _ in far[s]) for s in range(n)], 1e-9)
