@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from roadloom.operators import kernels as k
-from roadloom.operators.paths import _graph_of
+from roadloom.operators import searches
 from roadloom.plans.network import NetworkError, RoadNetwork
 
 MODES = ("metric", "angular", "vectorAngle", "vectorMetric")
-_SCHEMA = "from_segment bigint, to_segment bigint, mode string, found boolean, segment_indexes array<bigint>, distance_m double, angular_cost double, vector_cost double"
 
 
 def routes(network: RoadNetwork, requests: DataFrame, mode: str | None = None) -> DataFrame:
@@ -23,36 +18,12 @@ def routes(network: RoadNetwork, requests: DataFrame, mode: str | None = None) -
     """
     if mode is not None and mode not in MODES:
         raise NetworkError(f"Unknown route mode: {mode}")
-    held = network.graph
-    has_mode = mode is None
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = _graph_of(held)
-        for batch in batches:
-            rows = []
-            starts, goals = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            modes = batch.column(2).to_pylist() if has_mode else [mode] * len(starts)
-            for start, goal, way in zip(starts, goals, modes, strict=True):
-                if way not in MODES:
-                    raise NetworkError(f"Unknown route mode: {way}")
-                a, b = graph.position.get(start), graph.position.get(goal)
-                found = None
-                if a is not None and b is not None:
-                    found = k.angular_route(graph, a, b) if way == "angular" else k.node_route(graph, way, a, b)
-                if found is None:
-                    rows.append((start, goal, way, False, None, None, None, None))
-                else:
-                    rows.append((start, goal, way, True, [graph.index[s] for s in found[0]], *found[1:]))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 8
-            types = (pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int64()), pa.float64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [c.split()[0] for c in _SCHEMA.split(", ")])
-
-    wanted = requests.selectExpr("cast(from_segment as bigint)", "cast(to_segment as bigint)", *(["mode"] if has_mode else []))
-    return wanted.mapInArrow(scan, _SCHEMA)
+    wanted = requests.selectExpr("cast(from_segment as bigint)", "cast(to_segment as bigint)", *(["mode"] if mode is None else []))
+    return searches.routes(network, wanted, mode)
 
 
 def shortest_route(network: RoadNetwork, mode: str, start: int, goal: int) -> dict | None:
     """One route, or None."""
     request = network.spark.createDataFrame([(start, goal)], "from_segment bigint, to_segment bigint")
-    row = routes(network, request, mode).first()
+    row = routes(network, request, mode).collect()[0]
     return {name: row[name] for name in ("segment_indexes", "distance_m", "angular_cost", "vector_cost")} if row["found"] else None
