@@ -10,7 +10,7 @@ from roadloom.operators import kernels as k
 from roadloom.operators.routes import routes
 from roadloom.plans.network import build_graph
 
-MODES = ("angular", "metric", "vectorAngle")
+MODES = ("angular", "metric", "vectorAngle", "vectorMetric")
 
 
 def same(a, b):
