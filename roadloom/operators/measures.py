@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.operators import kernels as k
+from roadloom.operators import searches
 from roadloom.operators.paths import all_nodes, all_segments, centre_distances, node_distances, run
 from roadloom.plans.network import NetworkError, RoadNetwork
 from roadloom.schema import ANGULAR_DEPTH_SCALE
@@ -254,7 +255,10 @@ def sdna_betweenness(network: RoadNetwork, radius: float, origins: DataFrame | N
 
 def sdna_angular_betweenness(network: RoadNetwork, radius: float, origins: DataFrame | None = None, destinations: DataFrame | None = None) -> DataFrame:
     """Weighted credits along one path of least angle for each ordered pair."""
-    return _weighted_paths(network, radius, "bend", origins, destinations, k.first_path_credits, 1.0)
+    own, to = _weight_list(network, origins), _weight_list(network, destinations)
+    order = network.graph.value["segment_index"].to_pylist()
+    listed = [None if w is None else [w.value[i] for i in order] for w in (own, to)]
+    return _summed(searches.credits(network, all_segments(network), radius, *listed), all_segments(network), "segment_index")
 
 
 # Families with a kernel of their own

@@ -4,9 +4,10 @@ import math
 
 import pytest
 from networks import disconnected
-from test_measures import skewed_grid
+from test_measures import close, skewed_grid, values, weights
 
 from roadloom.operators import kernels as k
+from roadloom.operators import measures as m
 from roadloom.operators.routes import routes
 from roadloom.plans.network import build_graph
 
@@ -35,3 +36,18 @@ def test_routes_equal_those_of_the_kernels_and_are_dealt_out(spark, mode):
             if want:
                 assert [*r.segment_indexes] == want[0]
                 assert all(same(x, y) for x, y in zip((r.distance_m, r.angular_cost, r.vector_cost), want[1:], strict=True)), (a, b, r, want)
+
+
+def test_credits_of_first_paths_equal_those_of_the_kernels(spark, monkeypatch):
+    net = skewed_grid(spark)
+    graph = build_graph(net.graph.value)
+    monkeypatch.setattr(m, "run", None)  # no row for each pair of root and segment
+    for radius in (100.0, 200.0, math.inf):
+        for own, to in ((None, None), ([i % 3 for i in range(len(graph))], [i % 5 for i in range(len(graph))])):
+            want = [0.0] * len(graph)
+            for root in range(len(graph)):
+                found = k.centre_search(graph.centres("bend"), root, radius)
+                for s, credit in k.first_path_credits(found, root, to or [1.0] * len(graph), 1.0 if own is None else own[root]).items():
+                    want[s] += credit
+            held = [w and weights(spark, *w) for w in (own, to)]
+            close(values(m.sdna_angular_betweenness(net, radius, *held)), want, 1e-9)
