@@ -57,8 +57,8 @@ def packed(network: RoadNetwork, options: bytes = b"") -> DataFrame:
     return network.spark.createDataFrame([(bytearray(b"".join(columns)), bytearray(options))], "graph binary, options binary")
 
 
-def _run(network: RoadNetwork, rows: DataFrame, task: Column, options: bytes, returns: str, chunk: int) -> DataFrame:
-    """Rows of the function for the numbers in the columns of ``rows`` (first, second, mode), dealt to all cores, a chunk at a time."""
+def _run(network: RoadNetwork, rows: DataFrame, task: Column, options: bytes, returns: str, chunk: int, together: str | None = None) -> DataFrame:
+    """Rows of the function for the numbers in the columns of ``rows`` (first, second, mode), dealt to all cores, a chunk at a time; near ones of ``together`` in one."""
     names = rows.columns
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +74,12 @@ def _run(network: RoadNetwork, rows: DataFrame, task: Column, options: bytes, re
 
     schema = ", ".join(f"{name} array<{kind}>" for name, kind in rows.dtypes)
     spread = 4 * network.spark.sparkContext.defaultParallelism
-    gathered = rows.repartition(spread, *names).mapInArrow(gather, schema).crossJoin(F.broadcast(packed(network, options)))
+    if together is None or rows.isStreaming:
+        dealt = rows.repartition(spread, *names)
+    else:
+        order = [together, *(name for name in names if name != together)]
+        dealt = rows.repartitionByRange(spread, *order).sortWithinPartitions(*order)
+    gathered = dealt.mapInArrow(gather, schema).crossJoin(F.broadcast(packed(network, options)))
     found = F.call_udf(_registered(network.spark, returns), task, F.col("graph"), F.col(names[0]), F.col(names[min(1, len(names) - 1)]), F.col("options"))
     return gathered.select(F.inline(found))
 
@@ -89,4 +94,5 @@ def credits(network: RoadNetwork, roots: DataFrame, radius: float, own: list[flo
 def routes(network: RoadNetwork, requests: DataFrame, mode: str | None) -> DataFrame:
     """``node_route`` or ``angular_route`` of each request (from_segment, to_segment[, mode])."""
     task = F.lit(mode) if mode is not None else F.array_join("mode", ",", "None")
-    return _run(network, requests, task, b"", ROUTES, _CHUNK)
+    # By angles one search serves all requests that lead to a node.
+    return _run(network, requests, task, b"", ROUTES, _CHUNK, None if mode in ("metric", "angular") else "to_segment")

@@ -1,17 +1,20 @@
 """Searches on the JVM against their twins in Python."""
 
 import math
+import random
 
 import pytest
-from networks import disconnected
+from networks import disconnected, make
 from test_measures import close, skewed_grid, values, weights
 
 from roadloom.operators import kernels as k
 from roadloom.operators import measures as m
+from roadloom.operators import searches
 from roadloom.operators.routes import routes
 from roadloom.plans.network import build_graph
 
 MODES = ("angular", "metric", "vectorAngle", "vectorMetric")
+BOUNDED = ("metric",)
 
 
 def same(a, b):
@@ -38,6 +41,46 @@ def test_routes_equal_those_of_the_kernels_and_are_dealt_out(spark, mode):
                 assert all(same(x, y) for x, y in zip((r.distance_m, r.angular_cost, r.vector_cost), want[1:], strict=True)), (a, b, r, want)
 
 
+def town(rng, side, wild, first=0, east=0.0):
+    """Rows of streets on a grid, some missing, some twice, some blind; the crossings of a wild one stand where they like."""
+    at = [(east + 100.0 * (i % side) + wild * rng.uniform(-30, 30), 100.0 * (i // side) + wild * rng.uniform(-30, 30)) for i in range(side * side)]
+    ways = [(i, i + 1) for i in range(side * side) if i % side < side - 1] + [(i + side, i) for i in range(side * side - side)]
+    ways = [w for w in ways if rng.random() > 0.12]
+    ways += rng.sample(ways, 3)
+    return [(first + a, first + b, float(rng.choice((100, 100, 110, 130))), *at[a], *at[b]) for a, b in ways]
+
+
+@pytest.mark.parametrize("mode", MODES[1:])
+@pytest.mark.parametrize("wild", (0, 1))
+def test_bounded_searches_find_the_routes_of_searches_of_everything(spark, mode, wild):
+    rng = random.Random(11)
+    net = make(spark, town(rng, 9, wild) + town(rng, 4, wild, 1000, 3000.0) + town(rng, 2, wild, 2000, 5000.0))
+    graph = build_graph(net.graph.value)
+    asked = {(rng.randrange(len(graph)), rng.randrange(0, len(graph), 3)) for _ in range(400)}
+    got = {(r.from_segment, r.to_segment): r for r in routes(net, spark.createDataFrame(sorted(asked), "from_segment bigint, to_segment bigint"), mode).collect()}
+    assert len(got) == len(asked)
+    for a, b in asked:
+        want, r = k.node_route(graph, mode, a, b), got[a, b]
+        assert r.found == bool(want)
+        if want:
+            assert [*r.segment_indexes] == want[0]
+            assert all(same(x, y) for x, y in zip((r.distance_m, r.angular_cost, r.vector_cost), want[1:], strict=True)), (a, b, r, want)
+
+
+@pytest.mark.parametrize("mode", BOUNDED)
+def test_a_route_settles_a_small_part_of_the_nodes(spark, mode):
+    rng = random.Random(5)
+    net = make(spark, town(rng, 50, 0))
+    n = net.size[0]
+    asked = [[rng.randrange(n) for _ in range(100)] for _ in range(2)]
+    searches._registered(spark, searches.ROUTES)
+    search = searches._compiled[spark.sparkContext.applicationId]
+    before = search.settled()
+    found = search.call(mode, bytes(searches.packed(net).first()["graph"]), *(spark._jvm.PythonUtils.toSeq(x) for x in asked), None)
+    assert sum(row.get(3) for row in found) > 90
+    assert 0 < search.settled() - before < 100 * 2500 / 2
+
+
 def test_credits_of_first_paths_equal_those_of_the_kernels(spark, monkeypatch):
     net = skewed_grid(spark)
     graph = build_graph(net.graph.value)
