@@ -14,7 +14,7 @@ from roadloom.operators.routes import routes
 from roadloom.plans.network import build_graph
 
 MODES = ("angular", "metric", "vectorAngle", "vectorMetric")
-BOUNDED = ("metric", "vectorAngle")
+BOUNDED = ("metric", "vectorAngle", "vectorMetric")
 
 
 def same(a, b):
