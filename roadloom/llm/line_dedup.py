@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.llm.cluster import discard, fresh, met, stored, within
@@ -24,7 +26,23 @@ SLACK = 0.01
 def explode_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, line_no, line, line_id) of every line; line_id is null for a line of white space."""
     lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line_no", "line"))
-    return lines.withColumn("line_id", F.when(F.trim("line", F.lit(" \t\r\x0b\x0c")) != "", F.xxhash64("line")))
+    # From the left only, which ends at the first other character; from the right all characters are listed first.
+    return lines.withColumn("line_id", F.when(F.ltrim("line", F.lit(" \t\r\x0b\x0c")) != "", F.xxhash64("line")))
+
+
+@contextmanager
+def roomy_aggregation(spark: SparkSession) -> Iterator[None]:
+    """Let the generated hash map of an aggregation hold all groups of a task (2^20 instead of 2^16); the general map behind it is slower."""
+    name = "spark.sql.codegen.aggregate.fastHashMap.capacityBit"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "20")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 def line_keys(lines: DataFrame) -> DataFrame:
@@ -80,7 +98,8 @@ def line_components(lines: DataFrame, threshold: float) -> DataFrame:
     there is compared inside the join, in the least bucket that the two share; only similar ones leave
     it, so that a large group of near copies is never listed pair by pair and no link is lost.
     """
-    signatures = stored(line_keys(lines), "keys")
+    with roomy_aggregation(lines.sparkSession):
+        signatures = stored(line_keys(lines), "keys")
     keys = signatures.select("line_id", F.explode("keys").alias("key"))
     # A line has each of its keys once.
     buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("line_id").alias("first")).where("n > 1").select("key", "first")

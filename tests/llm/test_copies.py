@@ -198,3 +198,20 @@ def test_columns_stay(docs):
 def test_ngram_join_of_text_ids(spark):
     rows = spark.createDataFrame([("b", "one two three four five six"), ("a", "One two three four five six!"), ("c", None)], "doc_id string, text string")
     assert sorted(map(tuple, nj.ngram_jaccard_join(rows).collect())) == [("a", "a", 1), ("b", "a", 1), ("c", "c", 0)]
+
+
+def test_signatures_are_aggregated_in_a_map_that_holds_all_groups(spark, monkeypatch):
+    name = "spark.sql.codegen.aggregate.fastHashMap.capacityBit"
+    before, seen = spark.conf.get(name), []
+    made = ld.line_keys
+    monkeypatch.setattr(ld, "line_keys", lambda lines: seen.append(spark.conf.get(name)) or made(lines))
+    docs = spark.createDataFrame([(1, "one line of text"), (2, "one line of text\nanother line")], "doc_id bigint, text string")
+    assert ld.line_classes(docs).where("not kept").count() == 1
+    assert seen == ["20"] and spark.conf.get(name) == before
+
+
+def test_white_space_is_told_from_the_left_only(spark):
+    texts = ["", " \t\r\x0b\x0c", " x", "x ", " ", "\t  "]
+    lines = ld.explode_lines(spark.createDataFrame([(1, "\n".join(texts))], "doc_id bigint, text string"), "doc_id", "text")
+    assert [r.line_id is None for r in lines.orderBy("line_no").collect()] == [True, True, False, False, False, False]
+    assert " trim(" not in lines._jdf.queryExecution().analyzed().toString()
