@@ -81,6 +81,34 @@ def test_a_route_settles_a_small_part_of_the_nodes(spark, mode):
     assert 0 < search.settled() - before < 100 * 2500 / 2
 
 
+def maze(side, rows):
+    """Streets on a lattice in strips of so many rows, joined at alternate ends only."""
+    at = lambda i: (100.0 * (i % side), 100.0 * (i // side))
+    ways = [(i, i + 1) for i in range(side * side) if i % side < side - 1]
+    ways += [(i, i + side) for i in range(side * side - side) if (i // side + 1) % rows or i % side == (0 if i // side // rows % 2 else side - 1)]
+    return [(a, b, float(100 + a % 3 * 10), *at(a), *at(b)) for a, b in ways]
+
+
+@pytest.mark.parametrize("mode", ("vectorAngle",))
+def test_routes_to_one_goal_share_a_search_where_much_of_a_lattice_is_missing(spark, mode):
+    rng = random.Random(3)
+    net = make(spark, maze(30, 3))
+    graph = build_graph(net.graph.value)
+    asked = [[rng.randrange(len(graph)) for _ in range(150)], [len(graph) - 1] * 150]
+    searches._registered(spark, searches.ROUTES)
+    search = searches._compiled[spark.sparkContext.applicationId]
+    before = search.settled()
+    found = search.call(mode, bytes(searches.packed(net).first()["graph"]), *(spark._jvm.PythonUtils.toSeq(x) for x in asked), None)
+    settled = search.settled() - before
+    for row, a, b in zip(found, *asked, strict=True):
+        want = k.node_route(graph, mode, a, b)
+        assert row.get(3) == bool(want)
+        if want:
+            assert [*row.get(4)] == want[0]
+            assert all(same(row.get(5 + i), x) for i, x in enumerate(want[1:]))
+    assert 0 < settled < 100_000
+
+
 def test_credits_of_first_paths_equal_those_of_the_kernels(spark, monkeypatch):
     net = skewed_grid(spark)
     graph = build_graph(net.graph.value)
