@@ -89,7 +89,7 @@ def maze(side, rows):
     return [(a, b, float(100 + a % 3 * 10), *at(a), *at(b)) for a, b in ways]
 
 
-@pytest.mark.parametrize("mode", ("vectorAngle",))
+@pytest.mark.parametrize("mode", MODES[2:])
 def test_routes_to_one_goal_share_a_search_where_much_of_a_lattice_is_missing(spark, mode):
     rng = random.Random(3)
     net = make(spark, maze(30, 3))
